@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, quality, simhash
+from . import decontaminate, language_model, licenses, packing, quality, simhash
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents")).select(*names)
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -29,6 +33,6 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op6_decontaminate, op9_licenses)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_language_model, op6_decontaminate, op9_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
