@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, licenses, packing, quality, simhash
+from . import decontaminate, language_id, language_model, licenses, packing, quality, secrets, simhash
 from .common import table
 
 
@@ -29,10 +29,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.cross_fit(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_language_model, op6_decontaminate, op9_licenses)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_language_model, op6_decontaminate, op7_language_id, op8_secrets, op9_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
