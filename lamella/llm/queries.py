@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, language_model, licenses, packing, quality, secrets, simhash
+from . import chat, decontaminate, language_id, language_model, licenses, packing, quality, secrets, simhash, token_scan
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.link(*chat.exchanges(table(spark, sf_dir, "conversations")), chat.REPLY)
+    return found.withColumnRenamed("conv", "conv_id")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -41,6 +46,38 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_language_model, op6_decontaminate, op7_language_id, op8_secrets, op9_licenses)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_language_model, op5_chat, op6_decontaminate, op7_language_id, op8_secrets, op9_licenses, op10_token_counts)}
+
+_WINDOWS = """
+  split as (select *, case when len(words) = 0 then 0 else greatest(1, len(words) - 9) end as k from (
+    select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from benchmark where text is not null)),
+  windows as (select distinct item_id, words[i:i + 9] as w from (select *, unnest(range(1, k + 1)) as i from split)),
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat": """
+with calls as (select conv_id, turn, text, conv_id || '-' || turn as call_id from conversations where role = 'user'),
+  results as (select conv_id, turn, text, conv_id || '-' || (turn - 1) as call_id from conversations where role = 'assistant'),
+  answered as (select conv_id, call_id, count(*) as n, min({'t': turn, 'c': text}) as r from results group by all),
+  first as (select conv_id, call_id, min(turn) as first, count(*) as same from calls group by all)
+select conv_id, turn, call_id, case when same > 1 and turn > first then 'duplicate' when n > 0 then 'linked' else 'unanswered' end as status,
+  coalesce(n, 0) as n_results, r.t as result_turn, case when text is null then '$.prompt: missing' else '' end as errors, turn as order_turn, 0::bigint as order_depth, false as cyclic,
+  '{"arguments":{' || case when turn >= 2 then '"after":{"$ref":"' || conv_id || '-' || (turn - 2) || '"},' else '' end
+    || case when text is null then '' else '"prompt":' || to_json(text) || ',' end || '"turn":' || turn || '},"id":"' || call_id || '","name":"reply","result":'
+    || coalesce(to_json(r.c)::varchar, 'null') || '}' as json
+from calls join first using (conv_id, call_id) left join answered using (conv_id, call_id)""",
+    "op6_decontaminate": f"""
+with {_WINDOWS}
+  docs as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as words from documents),
+  sizes as (select distinct len(w) as n from windows),
+  places as (select doc_id, i, n, words[i:i + n - 1] as w from (select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as i from docs, sizes where len(words) >= n)),
+  found as (select doc_id, i, n, item_id from places join windows using (w)),
+  hits as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from found) group by doc_id),
+  items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as names from found group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hits using (doc_id) left join items using (doc_id)""",
+}
