@@ -1,8 +1,72 @@
-"""Documents to packed training sequences, stage by stage."""
+"""Documents to packed training sequences, stage by stage.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir); its result is written as Parquet and
+read again as the next one's documents.  All but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamella.llm import decontaminate, packing, quality, secrets, simhash
+from lamella.llm.common import shared_dir, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the bands of tokeniser fertility."""
+    return quality.rules(docs, carry=True).where("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id.
+
+    One row stays even where rows repeat an id.  A document without an id can't
+    be named as anyone's copy, and stays.
+    """
+    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
+    return decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), carry=True).where("n_hit = 0").select("row.*")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark, n_chars that of the new text."""
+    clean = secrets.redact(secrets.scan(docs, carry=True))
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("text") != F.col("row.text"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return clean.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequences and offsets."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: No stage but the third can be expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, in order, over the table ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return docs
