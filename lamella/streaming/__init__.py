@@ -1,0 +1,5 @@
+"""Views are batch tables; there is no operator here that keeps state between batches.
+
+A streaming DataFrame passes through ``operators.rows`` and ``sources.writer.validate``
+unchanged, as both are plain projections and filters.
+"""
