@@ -71,7 +71,8 @@ class Tag:
 
 @dataclass(frozen=True)
 class Node:
-    """kind: leaf, record, vector, list, set or map."""
+    """kind: leaf, record, vector, list, set or map.  native: the Spark type of a leaf of a
+    foreign file, where it is not the one that its type is stored as."""
 
     kind: str
     required: bool = False
@@ -81,6 +82,7 @@ class Node:
     fields: tuple[tuple[str, Node], ...] = ()
     element: Node | None = None
     key: Node | None = None
+    native: T.DataType | None = None
 
     def child(self, name: str) -> Node | None:
         return dict(self.fields).get(name)
@@ -144,7 +146,7 @@ def as_entries(node: Node) -> bool:
 
 def to_spark(node: Node, types: Types = Types()) -> T.DataType:
     if node.kind == "leaf":
-        return types.spark(node.type)
+        return node.native or types.spark(node.type)
     if node.kind == "record":
         return T.StructType([T.StructField(k, to_spark(v, types), True, notes(v)) for k, v in node.fields])
     if node.kind == "map":
@@ -165,7 +167,7 @@ def notes(node: Node) -> dict:
     return out
 
 
-_BACK = {"boolean": "boolean", "int": "int", "bigint": "long", "float": "float", "double": "double", "binary": "byte-array", "string": "string", "timestamp": "inst", "tinyint": "int", "smallint": "int", "date": "inst"}
+_BACK = {"boolean": "boolean", "int": "int", "bigint": "long", "float": "float", "double": "double", "binary": "byte-array", "string": "string", "timestamp": "inst", "tinyint": "int", "smallint": "int", "date": "inst", "timestamp_ntz": "inst"}
 
 
 def from_spark(kind: T.DataType, note: dict | None = None) -> Node:
@@ -183,7 +185,9 @@ def from_spark(kind: T.DataType, note: dict | None = None) -> Node:
         name = "bigint" if kind.scale == 0 else "bigdec"
     else:
         name = _BACK.get(kind.simpleString(), "string")
-    return Node("leaf", required, note.get("logical_type", name), note.get("encoding", "plain"))
+    name = note.get("logical_type", name)
+    usual = PRIMITIVES[name] if name in PRIMITIVES else LOGICAL[name][0] if name in LOGICAL else kind
+    return Node("leaf", required, name, note.get("encoding", "plain"), native=None if usual == kind else kind)
 
 
 def leaf_paths(node: Node, path: tuple = ()) -> list[tuple[tuple, Node]]:
