@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark, n_chars that of the new text."""
     clean = secrets.redact(secrets.scan(docs, carry=True))
-    changed = {"text": F.col("text"), "n_chars": F.when(F.col("text") != F.col("row.text"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    changed = {"text": F.coalesce("text", "row.text"), "n_chars": F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
     return clean.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 

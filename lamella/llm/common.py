@@ -65,6 +65,15 @@ def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int =
             yield batch.slice(start)
 
 
+def with_text(batches: Iterator[pa.RecordBatch], carried: str | None) -> Iterator[pa.RecordBatch]:
+    """Batches with a column ``text``: their own, or that field of the carried ``row``, which is not sent twice."""
+    for batch in batches:
+        if carried is None:
+            yield batch
+        else:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.struct_field(batch.column("row"), [carried])], [*batch.schema.names, "text"])
+
+
 def is_held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, in_slices, texts
+from .common import ALNUM, in_slices, texts, with_text
 
 WINDOW = 10
 SAMPLE = 8
@@ -193,13 +193,19 @@ def find(phrases: Phrases, documents: list[bytes | None]) -> list[tuple[int, np.
         for d, w in set(zip(doc.tolist(), which.tolist())):
             found[d].update(phrases.items[w])
     hit = np.cumsum(hit[:-1]) > 0
-    return [(b - a - 1, hit[a : b - 1], found.get(d, set())) for d, (a, b) in enumerate(zip(starts, starts[1:]))]
+    return [(b - a - 1, hit[a : b - 1], found[d] if d in found else set()) for d, (a, b) in enumerate(zip(starts, starts[1:]))]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items: list, window: int, carry: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], items: list, window: int, carried: str | None, last: bool) -> Iterator[pa.RecordBatch]:
+    """One pass; what an earlier one found comes along and is merged."""
     phrases = Phrases(items, window)
-    for batch in in_slices(batches, most=SHARD_BYTES):
+    for batch in in_slices(with_text(batches, carried), most=SHARD_BYTES):
         found = find(phrases, texts(batch.column("text")))
+        if "spans" in batch.schema.names:
+            for (_, hit, named), spans, more in zip(found, batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
+                for a, b in spans:
+                    hit[a:b] = True
+                named.update(more)
         spans = [np.flatnonzero(np.diff(np.concatenate(([0], h.astype(np.int8), [0])))).reshape(-1, 2).tolist() for _, h, _ in found]
         names = ["id", "n_words", "n_hit", "items", "spans"]
         columns = [
@@ -209,8 +215,8 @@ def _scan(batches: Iterator[pa.RecordBatch], items: list, window: int, carry: bo
             pa.array([sorted(i) for *_, i in found], pa.list_(pa.int64())),
             pa.array(spans, pa.list_(pa.list_(pa.int64()))),
         ]
-        if carry:
-            names, columns = [*names, "row"], [*columns, batch.column("row")]
+        for name in ["row"] if carried else [] if last else ["text"]:
+            names, columns = [*names, name], [*columns, batch.column(name)]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -222,38 +228,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     marks words but is not listed; equal rows on either side are each handled
     like any other.  Empty tables give no row, or no hit.  The benchmark is held
     by each task, up to ``pass_bytes``: a larger one is read in parts of that
-    size, one pass over the documents each, and the passes are merged.
+    size, one pass after the other over each document, in the same task.
     """
     asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     size = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    fields = [F.col(id_col).alias("id"), F.col(text_col).alias("text")] + ([F.struct("*").alias("row")] if carry else [])
-    rows = docs.select(*fields)
+    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row") if carry else F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)
-    schema = f"id {kind['id']}, n_words long, n_hit long, items array<long>, spans array<array<long>>" + (f", row {kind['row']}" if carry else "")
-
-    def one(part: DataFrame, frame: DataFrame) -> DataFrame:
-        items = [(r["item"], bytes(r["text"])) for r in part.select("item", F.col("text").cast("binary")).toLocalIterator()]
-        return frame.mapInArrow(partial(_scan, items=items, window=window, carry=carry and frame is rows), schema if frame is rows else schema.partition(", row ")[0])
-
     passes = max(1, -(-size // pass_bytes))
-    if passes == 1:
-        return one(asked, rows)
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), *fields)
-    slim = numbered.select(F.col("uid").alias("id"), "text")
-    schema = schema.replace(f"id {kind['id']}", "id long", 1)
-    parts = [one(asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p), slim) for p in range(passes)]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    merged = merged.groupBy("id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("cut"))
-    joined = F.aggregate(
-        "cut",
-        F.array().cast("array<array<long>>"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)[1] >= s[0]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.array(F.element_at(done, -1)[0], F.greatest(F.element_at(done, -1)[1], s[1]))))).otherwise(F.concat(done, F.array(s))),
-    )
-    merged = merged.select(F.col("id").alias("uid"), "n_words", "items", joined.alias("spans"))
-    out = numbered.drop("text").join(merged, "uid").withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0]))
-    return out.select("id", "n_words", "n_hit", "items", "spans", *(["row"] if carry else []))
+    for p in range(passes):
+        part = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p) if passes > 1 else asked
+        items = [(r["item"], bytes(r["text"])) for r in part.select("item", F.col("text").cast("binary")).toLocalIterator()]
+        last = p == passes - 1
+        kept = f", row {kind['row']}" if carry else "" if last else ", text string"
+        schema = f"id {kind['id']}, n_words long, n_hit long, items array<long>, spans array<array<long>>{kept}"
+        rows = rows.mapInArrow(partial(_scan, items=items, window=window, carried=text_col if carry else None, last=last), schema)
+    return rows
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, in_slices
-from .vocab import byte_bpe
+from .vocab import byte_bpe, claim
 
 CAPACITY = 2048
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 6, 3, 6, 6
@@ -191,7 +191,9 @@ def solve(spark: SparkSession, need: dict[int, int], capacity: int = CAPACITY, i
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, end: bytes) -> Iterator[pa.RecordBatch]:
-    encode, part, ranks = byte_bpe(vocabulary).encode, TaskContext.get().partitionId(), Counter()
+    bpe = byte_bpe(vocabulary)
+    claim("chunks", bpe.cache.clear)
+    encode, part, ranks = bpe.encode, TaskContext.get().partitionId(), Counter()
     for batch in in_slices(batches):
         rows = []
         for i, text in enumerate(batch.column("text").to_pylist()):

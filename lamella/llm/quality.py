@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, texts
-from .vocab import byte_bpe, pieces
+from .common import in_slices, texts, with_text
+from .vocab import byte_bpe, claim, pieces
 
 SYMBOLS = b"#*$%&|<>"
 #: White space and the continuation bytes of UTF-8: without them a byte is a code point.
 _NOT_CHARS = b"\x20\x09\x0a\x0b\x0c\x0d" + bytes(range(0x80, 0xC0))
 #: Words that a worker keeps encoded; what is beyond is encoded anew for each text.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 #: Bands: lowest and highest characters per token, highest byte-fallback share, lowest relative
 #: entropy, highest share of pieces that hold one of ``SYMBOLS``.
 BANDS: dict[str, tuple[float, float, float, float, float]] = {
@@ -61,6 +61,10 @@ class Lexicon(dict):
             self.extra.append(word)
         return row
 
+    def empty(self) -> None:
+        self.clear()
+        self.tokens, self.ids, self.extra = np.zeros(1024, np.int32), [], []
+
     def trim(self) -> None:
         for word in self.extra:
             del self[word]
@@ -144,10 +148,11 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 _KINDS = [pa.int64()] * 5 + [pa.float64()] * 4 + [pa.string()]
 
 
-def _measure(batches: Iterator[pa.RecordBatch], bpe: str, piece: str) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], bpe: str, piece: str, carried: str | None) -> Iterator[pa.RecordBatch]:
     lex = lexicon(bpe, piece)
+    claim("lexicon", lex.empty)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in in_slices(batches):
+    for batch in in_slices(with_text(batches, carried)):
         found = [measure(t, lex) for t in texts(batch.column("text"))]
         rest = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *(pa.array([f[n] for f in found], k) for n, k in zip(names, _KINDS))], [*rest, *names])
@@ -163,9 +168,9 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     table gives no row.  No shuffle.
     """
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"), *([F.struct("*").alias("row")] if carry else []))
+    rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.struct("*").alias("row") if carry else F.col(text_col).alias("text"))
     kept = ", ".join(f"{n} {k}" for n, k in rows.dtypes if n != "text")
-    found = rows.mapInArrow(partial(_measure, bpe=bpe, piece=piece), f"{kept}, {SCHEMA}")
+    found = rows.mapInArrow(partial(_measure, bpe=bpe, piece=piece, carried=text_col if carry else None), f"{kept}, {SCHEMA}")
     table = F.create_map(*[x for k, b in bands.items() for x in (F.lit(k), F.array(*map(F.lit, map(float, b))))])
     band = F.coalesce(F.try_element_at(table, F.coalesce("lang", F.lit(""))), F.try_element_at(table, "script"), F.try_element_at(table, F.lit("*")))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices
+from .common import in_slices, with_text
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -111,8 +111,8 @@ def _join(spans: list[tuple[int, int, str]]) -> str:
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches):
+def _scan(batches: Iterator[pa.RecordBatch], options: dict, carried: str | None) -> Iterator[pa.RecordBatch]:
+    for batch in in_slices(with_text(batches, carried)):
         base, spans = [], []
         for text in batch.column("text").to_pylist():
             found = base_spans(text or "")
@@ -136,10 +136,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     other; other columns are not looked at; an empty table gives no row.  No
     shuffle.  ``options`` go to ``novel_spans``.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row") if carry else F.col(text_col).alias("text"))
     kept = ", ".join(f"{n} {k}" for n, k in rows.dtypes if n != "text")
     shape = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<start: long, end: long, kind: string>>"
-    return rows.mapInArrow(partial(_scan, options=options), f"{kept}, {shape}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(partial(_scan, options=options, carried=text_col if carry else None), f"{kept}, {shape}").withColumnRenamed("id", id_col)
 
 
 def redacted(text: str, spans: list[dict], mark: str) -> str:
@@ -151,14 +151,15 @@ def redacted(text: str, spans: list[dict], mark: str) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _redact(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches):
-        cut = [redacted(t, s, mark) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist())]
-        rest = [n for n in batch.schema.names if n not in ("text", "found")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(cut, pa.string())], [*rest, "text"])
+def _redact(batches: Iterator[pa.RecordBatch], mark: str, carried: str) -> Iterator[pa.RecordBatch]:
+    for batch in in_slices(with_text(batches, carried)):
+        found, text = batch.column("found").to_pylist(), batch.column("text")
+        cut = [redacted(text[i].as_py(), s, mark) if s else None for i, s in enumerate(found)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cut, pa.string())], ["row", "text"])
 
 
 def redact(found: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """``row`` and its ``text`` with every span replaced by ``mark``, from a ``scan`` with ``carry``."""
-    rows = found.select("row", F.col("row")[text_col].alias("text"), "found")
-    return rows.mapInArrow(partial(_redact, mark=mark), f"row {dict(rows.dtypes)['row']}, text string")
+    """``row``, and ``text`` with every span replaced by ``mark`` (null where there is no span),
+    from a ``scan`` with ``carry``."""
+    rows = found.select("row", "found")
+    return rows.mapInArrow(partial(_redact, mark=mark, carried=text_col), f"row {dict(rows.dtypes)['row']}, text string")

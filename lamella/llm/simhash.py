@@ -188,9 +188,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, limit: int = LIMIT) -> Dat
     if over.isEmpty():
         return found
     # The 33 bits outside the block, in four parts of which one is equal in every pair.
-    block = F.shiftright("key", 31) & 1
-    other = F.when(block == 0, F.shiftrightunsigned("fp", 31)).otherwise(F.col("fp").bitwiseAND(LOW31).bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", 62), 31)))
-    parts = F.array(*[F.struct(F.lit(p).alias("p"), F.shiftrightunsigned("o", 8 * p).bitwiseAND(511 if p == 3 else 255).alias("v")) for p in range(4)])
+    other = F.expr("if((shiftright(key, 31) & 1L) = 0, shiftrightunsigned(fp, 31), (fp & 2147483647L) | shiftleft(shiftrightunsigned(fp, 62), 31))")
+    parts = F.array(*[F.expr(f"named_struct('p', {p}, 'v', shiftrightunsigned(o, {8 * p}) & {511 if p == 3 else 255}L)") for p in range(4)])
     again = over.withColumn("o", other).select("key", "fp", F.explode(parts).alias("x")).select(F.xxhash64("key", "x.p", "x.v").alias("key"), "fp").distinct()
     met = _met(again, limit, threshold)
     found = found.unionByName(met.where("key is null").select("a", "b"))

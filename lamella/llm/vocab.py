@@ -12,9 +12,10 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 import tiktoken
@@ -22,7 +23,7 @@ from tokenizers import Tokenizer
 
 UNSAFE = re.compile(r"\s \s|\s \Z")
 #: Chunks kept by one worker.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 200_000
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +31,17 @@ def vocabulary(name: str) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """One cache at a time: a worker that turns to another operator empties what the last one held."""
+    for other in [o for o in _held if o != owner]:
+        _held.pop(other)()
+        pa.default_memory_pool().release_unused()
+    _held[owner] = clear
+
+
 class Chunks(dict):
     """What ``make`` gives for a key; keeps the first ``most`` keys, and starts anew if they serve badly."""
 
@@ -51,8 +63,7 @@ class ByteBPE:
 
     def __init__(self, name: str = "byte_bpe_50k.json", most: int = MOST_CHUNKS):
         path = vocabulary(name)
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path = path
         self.quick, self.cache = None, Chunks(self._encode, most)
         ranks = path.removesuffix(".json") + ".tiktoken"
         try:  # the same vocabulary as ranks, if it lies beside the file
@@ -62,6 +73,12 @@ class ByteBPE:
         except FileNotFoundError:
             pass
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def _encode(self, text: str) -> bytes:
         if self.quick:
             return np.array(self.quick.encode_ordinary(text), "<u4").tobytes()
