@@ -83,27 +83,51 @@ def map_texts(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(kernel, schema)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Fewer keys than this can hold more than 1/SPREAD of all rows each, so these may be broadcast.
+SPREAD = 1_024
+#: A table of so few rows has no key that makes a long task.
+LIGHT = 16_384
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str, total: int, light: int = LIGHT) -> DataFrame:
+    """Inner join of ``rows`` to ``groups`` on ``key``, the rows of hot keys spread over all tasks.
+
+    groups: one row per key, with a column ``n``, the number of its rows; total:
+    the sum of ``n``, or more.  A key with more than total / SPREAD rows is hot.
+    There are fewer than SPREAD of these, whatever the data: they are broadcast,
+    and their rows stay where they lie.  All other keys meet in a shuffle.
+    """
+    if total <= light:
+        return rows.join(groups, key)
+    bar = max(light // 16, total // SPREAD)
+    hot, rest = F.broadcast(groups.where(F.col("n") > bar)), groups.where(F.col("n") <= bar)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+def components(edges: DataFrame, most_rounds: int = 60, light: int = LIGHT) -> DataFrame:
     """Connected components of an edge table (a, b): one row (node, label) per node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the
     edge set is a star forest; the label is the smallest node of the component.
-    Each round is a shuffle of the remaining edges and is cut by a checkpoint.
-    Loops (a = b), repeated edges and an empty table are fine.
+    Each round is a shuffle of the remaining edges and is cut by a checkpoint;
+    the edges of a hub are spread (``meet``).  Loops (a = b), repeated edges and
+    an empty table are fine.
     """
     state = cut(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
-    before = None
+    before, total = None, 2 * state.count()
     for _ in range(most_rounds):
         both = state.unionByName(state.selectExpr("b a", "a b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
-        large = both.join(low, "a").where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").selectExpr("b a", "m b").unionByName(low.selectExpr("a", "m b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).selectExpr("a", "least(a, m) m", "n")
+        large = meet(both, low, "a", total, light).where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
+        if total > light:
+            large = cut(large)
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = meet(large, low, "a", total, light).where("b <> m").selectExpr("b a", "m b").unionByName(low.selectExpr("a", "m b"))
         state = cut(small.distinct())
         now = state.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
-        before = tuple(now)
+        before, total = tuple(now), 2 * now[0]
     else:
         raise RuntimeError("components did not settle")
     return state.selectExpr("a node", "b label").unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

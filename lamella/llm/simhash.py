@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, in_slices, texts
+from .common import LIGHT, components, cut, in_slices, meet, texts
 
 #: Fingerprints of one anchor that a task compares in memory.
 LIMIT = 2048
@@ -204,7 +204,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, limit: int = LIMIT) -> Dat
     return found.unionByName(met.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, limit: int = LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, limit: int = LIMIT, light: int = LIGHT) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id.
 
     component_id is the smallest id reachable by links at ``threshold`` or less.
@@ -212,13 +212,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id is returned with its component, and is never a component_id unless
     all ids of the component are null.  Repeated rows are returned as often as
     they come; other columns are not looked at; an empty table gives no row.
+    The rows of a hot fingerprint, and the nodes of a hot component, are spread.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long"))
-    fps = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    joined = components(links(fps, threshold, limit))
-    best = joined.join(fps, joined.node == fps.fp).groupBy("label").agg(F.min("low").alias("best"))
-    linked = joined.join(best, "label").select(F.col("node").alias("fp"), "best")
-    names = fps.join(linked, "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id"))
-    return rows.join(names, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    fps = rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    joined = components(links(fps, threshold, limit), light=light)
+    best = joined.join(fps, joined.node == fps.fp).groupBy("label").agg(F.min("low").alias("best"), F.count("*").alias("n"))
+    linked = meet(joined, best, "label", joined.count(), light).select(F.col("node").alias("fp"), "best")
+    names, total = fps.join(linked, "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id"), "n"), rows.count()
+    if total > light:  # ``meet`` reads it more than once
+        names = cut(names)
+    return meet(rows, names, "fp", total, light).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

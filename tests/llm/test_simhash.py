@@ -2,10 +2,11 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from lamella.llm import simhash
-from lamella.llm.common import components
+from lamella.llm.common import components, meet
 
 
 def brute(text):
@@ -91,16 +92,31 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("light", [0, 32])
+def test_hubs_are_spread(spark, light):
+    edges = [(1000 + i, 5) for i in range(300)] + [(1000 + i, 7) for i in range(299, 320)] + [(2, 3), (3, 4), (9000, 8000)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), light=light).collect()}
+    assert got == {**{1000 + i: 5 for i in range(320)}, 5: 5, 7: 5, 2: 2, 3: 2, 4: 2, 8000: 8000, 9000: 8000}
+
+
+def test_hot_keys_meet_like_others(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 40), (3, 1)) for i in range(n)], "k long, i long")
+    groups = spark.createDataFrame([(1, 500, "a"), (2, 40, "b"), (3, 1, "c")], "k long, n long, v string")
+    want = sorted(map(tuple, rows.join(groups, "k").collect()))
+    for light in (0, 320, 1 << 20):
+        assert sorted(map(tuple, meet(rows, groups, "k", 541, light).collect())) == want
+
+
 def test_documents(spark):
     long = " ".join(f"w{i}" for i in range(300))
     near = long.replace("w17", "other")
     rows = [(5, long, "x"), (3, near, "y"), (3, near, "y"), (9, None, "z"), (8, "", "z"), (7, "  ", "z"), (None, long, "n"), (2, "One", "s"), (4, "one", "s"), (None, "alone by itself", "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").withColumnRenamed("component_id", "fp")
-    got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
+    got, spread = (sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df, light=light).collect()), key=str) for light in (simhash.LIGHT, 2))
     fps = [brute(t) for _, t, _ in rows]
     want = []
     for i, r in enumerate(roots(fps)):
         ids = [rows[j][0] for j, q in enumerate(roots(fps)) if q == r and rows[j][0] is not None]
         want.append((rows[i][0], f"{fps[i]:016x}", min(ids, default=None)))
-    assert got == sorted(want, key=str)
+    assert got == spread == sorted(want, key=str)
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
