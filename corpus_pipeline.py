@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontaminate, packing, quality, secrets, simhash
+from lamella.llm import decontaminate, near_copies, packing, quality, secrets
 from lamella.llm.common import shared_dir, table
 
 
@@ -22,12 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id.
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id.
 
     One row stays even where rows repeat an id.  A document without an id can't
     be named as anyone's copy, and stays.
     """
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
+    groups = near_copies.near_copies(docs.where("doc_id is not null"))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
@@ -52,7 +52,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("secret scans", secret_scan),
     ("best-fit packing", best_fit_packing),

@@ -1,0 +1,226 @@
+"""Near copies by exact Jaccard similarity of their sets of word shingles.
+
+Two sets at similarity t or more share at least ceil(t * n) of the n shingles of
+either, so that in any one order of all shingles they share one of the first
+n - ceil(t * n) + 1 of each (prefix filter: Chaudhuri et al., 2006).  The order
+is by hash, shingles that a sample finds in many documents last; what the sample
+says changes the cost, never the pairs.  Equal sets are merged beforehand.
+
+What two sets share lies in both prefixes or, for one of the two, beyond its own,
+so the number of shingles that the prefixes share has a least value too, and
+pairs below it are dropped unseen.
+
+Pairs are compared in two rounds.  In the first each shingle of a prefix links
+its documents to the one of smallest key; in the second all documents are
+compared that meet at a shingle and are not yet in one component.  Every
+remaining candidate is decided by its whole set.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import LIGHT, components, cut, in_slices, texts
+from .simhash import named
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: Documents of the sample, and in how many of them a shingle is a common one.
+SAMPLE, COMMON = 2_048, 4
+#: Hash buckets of ids that choose the texts to be compared.
+BUCKETS = 1 << 20
+#: Pairs that a task holds before it hands them on.
+FLUSH = 100_000
+
+
+def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; all of its words are one if there are no more."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((digest(join(words[i : i + width])) for i in range(n)), np.uint64, n))
+
+
+def set_key(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
+
+
+def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """What must hold a shingle of every set at ``similarity``; common: sorted hashes, put last."""
+    n = len(found)
+    if not n:
+        return found
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        found = found[np.argsort(common[at] == found, kind="stable")]
+    return found[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in in_slices(batches):
+        sets = [shingles(t, width) for t in texts(batch.column("text"))]
+        keys = [prefix(s, common, similarity).view(np.int64) for s in sets]
+        offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+        flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), flat], ["id", "fp", "size", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in in_slices(batches):
+        sets = [shingles(t, width) for t in texts(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "shingles"])
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1_000):
+            part = batch.slice(at, 1_000)
+            keys, n = part.column("keys"), part.column("keys").value_lengths().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([keys.flatten(), *(part.column(c).take(pa.array(np.repeat(np.arange(len(n)), n))) for c in ("fp", "size"))], ["key", "fp", "size"])
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups of equal ``key``, from rows sorted by it."""
+    rest = None
+    for batch in batches:
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now)]
+        if not len(now[0]):
+            continue
+        last = int(np.searchsorted(now[0], now[0][-1]))
+        rest = [c[last:].copy() for c in now]
+        if last:
+            yield [c[:last] for c in now]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, fp, size in _by_key(batches):
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        again[:-1] |= again[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(c[again]) for c in (key, fp, size)], ["key", "fp", "size"])
+
+
+_COUNTED = "a long, b long, na long, nb long, c long"
+
+
+def _pairs(fp: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Pairs of rows with their sizes, and how often each comes."""
+    i, j = np.where(fp[i] < fp[j], i, j), np.where(fp[i] < fp[j], j, i)
+    pairs, n = np.unique(np.stack((fp[i], fp[j], size[i], size[j]), 1), axis=0, return_counts=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in pairs.T.copy()), pa.array(n.astype(np.int64))], ["a", "b", "na", "nb", "c"])
+
+
+def _star(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for key, fp, size in _by_key(batches):
+        order = np.lexsort((fp, key))
+        key, fp, size = key[order], fp[order], size[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        middle = np.repeat(starts, np.diff(np.concatenate((starts, [len(key)]))))
+        near = np.flatnonzero((np.arange(len(key)) != middle) & (np.minimum(size, size[middle]) / np.maximum(size, size[middle]) >= similarity))
+        yield _pairs(fp, size, near, middle[near])
+
+
+def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """All pairs of a key whose labels differ and whose sizes allow the similarity."""
+    for key, fp, size, label in _by_key(batches):
+        order = np.lexsort((label, key))
+        key, fp, size, label = (c[order] for c in (key, fp, size, label))
+        active, k, held, total = np.arange(len(key) - 1), 1, [], 0
+        while len(active := active[active + k < len(key)]) and len(active := active[key[active] == key[active + k]]):
+            other = active + k
+            found = active[(label[active] != label[other]) & (np.minimum(size[active], size[other]) / np.maximum(size[active], size[other]) >= similarity)]
+            if len(found):
+                held.append((found, found + k))
+                total += len(found)
+            if total > FLUSH:
+                yield _pairs(fp, size, *map(np.concatenate, zip(*held)))
+                held, total = [], 0
+            k += 1
+        if held:
+            yield _pairs(fp, size, *map(np.concatenate, zip(*held)))
+
+
+def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose prefixes share as much as those of similar sets must."""
+    summed = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6)
+    beyond = F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9) - 1
+    return summed.where(F.col("c") >= least - beyond).select("a", "b")
+
+
+def _decide(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both / (len(x) + len(y) - both) >= similarity)
+        kept = pa.array(np.flatnonzero(keep))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(kept), batch.column("b").take(kept)], ["a", "b"])
+
+
+def _links(pairs: DataFrame, first: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs that reach the similarity, each by the whole sets of its two texts."""
+    nodes = pairs.selectExpr("a fp").unionByName(pairs.selectExpr("b fp")).distinct()
+    wanted = nodes.join(first, "fp").select("id").distinct()
+    # at most BUCKETS rows are broadcast, so that few texts but the wanted ones cross the shuffle
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
+    wanted = cut(wanted)
+    docs = docs.withColumn("k", bucket).join(F.broadcast(wanted.select(bucket.alias("k")).distinct()), "k", "left_semi").drop("k")
+    sets = docs.join(wanted, docs.id.eqNullSafe(wanted.id), "left_semi").select("text").mapInArrow(partial(_sets, width=width), "fp long, shingles binary")
+    sets = sets.join(nodes, "fp", "left_semi").dropDuplicates(["fp"])
+    sets = cut(sets)
+    met = pairs.join(sets.selectExpr("fp a", "shingles x"), "a").join(sets.selectExpr("fp b", "shingles y"), "b").select("a", "b", "x", "y")
+    return cut(met.mapInArrow(partial(_decide, similarity=similarity), "a long, b long"))
+
+
+def common_shingles(docs: DataFrame, width: int, sample: int = SAMPLE, least: int = COMMON) -> np.ndarray:
+    """Sorted hashes of what occurs in ``least`` documents or more of about ``sample``."""
+    share = max(1, docs.count() // sample)
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(F.col("id"), "text")
+    seen = some.mapInArrow(partial(_prefixes, width=width, similarity=0.0, common=np.zeros(0, np.uint64)), "id long, fp long, size long, keys array<long>")
+    found = seen.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= least).select("key").toArrow()
+    return np.sort(found["key"].to_numpy().view(np.uint64))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, light: int = LIGHT) -> DataFrame:
+    """One row per document: id, key of its shingle set (16 hex digits) and component_id.
+
+    component_id is the smallest id reachable by pairs of a similarity of
+    ``similarity`` or more.  Words are lower-cased (A to Z) and parted by white
+    space.  Null and wordless texts are copies of each other; nulls among ids,
+    repeated rows and an empty table are as in ``simhash.near_duplicates``.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity lies above 0 and is 1 at most")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    common = common_shingles(rows, shingle)
+    found = cut(rows.mapInArrow(partial(_prefixes, width=shingle, similarity=similarity, common=common), "id long, fp long, size long, keys array<long>"))
+    first = found.groupBy("fp").agg(F.min("id").alias("id"))
+    distinct = found.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    keyed = distinct.mapInArrow(_each, "key long, fp long, size long").repartition("key").sortWithinPartitions("key")
+    shared = cut(keyed.mapInArrow(_shared, "key long, fp long, size long"))
+
+    def sorted_(df: DataFrame) -> DataFrame:
+        return df.repartition("key").sortWithinPartitions("key")
+
+    star = cut(_enough(sorted_(shared).mapInArrow(partial(_star, similarity=similarity), _COUNTED), similarity))
+    near = _links(star, first, rows, shingle, similarity)
+    joined = cut(components(near, light=light))
+    labelled = shared.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "size", F.coalesce("label", "fp").alias("label"))
+    across = cut(_enough(sorted_(labelled).mapInArrow(partial(_across, similarity=similarity), _COUNTED), similarity).join(star, ["a", "b"], "left_anti"))
+    more = _links(across, first, rows, shingle, similarity)
+    return named(found.select("id", "fp"), lambda _: near.unionByName(more), id_col, light)

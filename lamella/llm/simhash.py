@@ -17,7 +17,7 @@ one must be equal), and what is still too large is dealt into pairs of chunks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -204,6 +204,18 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, limit: int = LIMIT) -> Dat
     return found.unionByName(met.select("a", "b"))
 
 
+def named(rows: DataFrame, link: Callable[[DataFrame], DataFrame], id_col: str, light: int = LIGHT) -> DataFrame:
+    """For each row of (id, fp) its fingerprint and the smallest id of its component under the links of the distinct fingerprints."""
+    fps = rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    joined = components(link(fps), light=light)
+    best = joined.join(fps, joined.node == fps.fp).groupBy("label").agg(F.min("low").alias("best"), F.count("*").alias("n"))
+    linked = meet(joined, best, "label", joined.count(), light).select(F.col("node").alias("fp"), "best")
+    names, total = fps.join(linked, "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id"), "n"), rows.count()
+    if total > light:  # ``meet`` reads it more than once
+        names = cut(names)
+    return meet(rows, names, "fp", total, light).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, limit: int = LIMIT, light: int = LIGHT) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id.
 
@@ -215,11 +227,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The rows of a hot fingerprint, and the nodes of a hot component, are spread.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long"))
-    fps = rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    joined = components(links(fps, threshold, limit), light=light)
-    best = joined.join(fps, joined.node == fps.fp).groupBy("label").agg(F.min("low").alias("best"), F.count("*").alias("n"))
-    linked = meet(joined, best, "label", joined.count(), light).select(F.col("node").alias("fp"), "best")
-    names, total = fps.join(linked, "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id"), "n"), rows.count()
-    if total > light:  # ``meet`` reads it more than once
-        names = cut(names)
-    return meet(rows, names, "fp", total, light).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named(rows, lambda fps: links(fps, threshold, limit), id_col, light)

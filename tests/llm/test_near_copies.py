@@ -1,0 +1,71 @@
+import itertools
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from lamella.llm import near_copies as nc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def sets(texts, width=5):
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return out
+
+
+def groups(texts, similarity=0.8):
+    found, label = sets(texts), list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        x, y = found[i], found[j]
+        if x == y or len(x & y) >= similarity * len(x | y):
+            label = [label[i] if k == label[j] else k for k in label] if label[i] < label[j] else [label[j] if k == label[i] else k for k in label]
+    return label
+
+
+def edited():
+    """Texts with a common passage, and copies of them edited to about the similarity."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(60)]
+    out = [None, "", "One two", "one TWO"]
+    for n in range(12):
+        base = [f"t{n}w{rng.randrange(400)}" for _ in range(rng.randrange(60, 300))] + common * (n % 3 == 0)
+        out.append(" ".join(base))
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 35))):
+                copy[rng.randrange(len(copy))] = "edited" + str(rng.random())
+            out.append(" ".join(copy[rng.randrange(8) :]))
+    return out
+
+
+def test_stage_against_brute_force_jaccard(spark, tiny):
+    texts = edited()
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in enumerate(texts)], DOCS).repartition(3)
+    want = groups(texts)
+    assert len({k for k in want}) < len(texts) - 40
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, tiny).collect()} == set(want)
+    for light in (nc.LIGHT, 2):
+        assert {r["doc_id"]: r["component_id"] for r in nc.near_copies(docs, light=light).collect()} == dict(enumerate(want))
+    assert nc.near_copies(docs.limit(0)).count() == 0
+
+
+def test_whole_table(spark, tiny):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
+    got = {r["doc_id"]: r["component_id"] for r in nc.near_copies(spark.read.parquet(f"{tiny}/documents.parquet")).collect()}
+    rows.sort()
+    assert got == {i: rows[k][0] for (i, _), k in zip(rows, groups([t for _, t in rows]))}
+
+
+def test_prefixes_of_similar_sets_meet_in_any_order():
+    rng = np.random.default_rng(8)
+    for _ in range(500):
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        y = np.unique(np.concatenate((x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 62, n // 12).astype(np.uint64))))
+        common = np.sort(rng.choice(x, len(x) // 3, replace=False))
+        if len(y) and len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8:
+            assert len(np.intersect1d(nc.prefix(x, common, 0.8), nc.prefix(y, common, 0.8)))
