@@ -1,16 +1,19 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
-Three fixed patterns are always reported.  Beyond them every long token near a
-sensitive word is a candidate: its novelty is the number of bytes that it adds
-to the compressed size of the code around it, with a compressor whose dictionary
-holds common identifiers and the vocabulary of code.  What the dictionary and
-the neighbourhood explain costs little; a random string costs most of its
-entropy, and is reported as ``novel``.
+Three fixed patterns are always reported.  Beyond them every token of 12
+characters or more with a sensitive word on either side is a candidate: its
+novelty is the number of bytes that it adds to the compressed size of the code
+around it, with a compressor whose dictionary holds common identifiers and the
+vocabulary of code.  What the dictionary and the neighbourhood explain costs
+little; a random string costs most of its entropy, and is reported as ``novel``.
+On so few bytes the compressor can't tell a word that its dictionary lacks from
+a random string, so words of the public vocabulary count as one byte each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_slices, with_text
+from .vocab import vocabulary
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -34,12 +38,18 @@ ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the maximal runs that are long enough
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
-CONTEXT = re.compile(r"(?<![a-z])(?:key|secret|token|passw|pwd|auth|bearer|credential|private|signature|apikey|access)", re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Characters around a candidate that prime the compressor and must hold a sensitive word before it.
-AROUND, BEFORE = 160, 48
+_SENSITIVE = "key|secret|token|passw|pwd|auth|bearer|credential|private|signature|access"
+#: A sensitive word from a non-letter or a change of case on, or one that ends a run-together name.
+CONTEXT = re.compile(
+    rf"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])|(?<=[A-Z])(?=[A-Z][a-z]))(?i:{_SENSITIVE})"
+    r"|(?i:key|secret|token|password|passwd|pwd|credential|signature)s?(?![A-Za-z])",
+    re.ASCII,
+)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Characters on either side of a candidate that prime the compressor, and of which one side must hold a sensitive word.
+AROUND, BESIDE = 160, 48
 #: Marginal compressed bytes per character from which a candidate is novel, and the least in all.
-PER_CHAR, LEAST = 0.62, 14
+PER_CHAR, LEAST = 0.62, 8
 IDENTIFIERS = b" ".join(
     b"""abstract access_token account address algorithm allocate api_key application arguments array assert async
  attribute authorization await background base64 boolean buffer button callback certificate character class client
@@ -75,6 +85,24 @@ def novelty(candidate: str, around: str, dictionary: bytes = IDENTIFIERS) -> int
     return len(c.compress(near + candidate.encode())) - len(c.compress(near))
 
 
+@lru_cache(maxsize=1)
+def _words() -> frozenset[str]:
+    """The vocabulary's words of five ASCII letters or more."""
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        pieces = json.load(f)["model"]["vocab"]
+    return frozenset(w for w in (p.lstrip("\u0120").lower() for p in pieces) if len(w) >= 5 and w.isascii() and w.isalpha())
+
+
+def explained(candidate: str) -> int:
+    """Characters that whole words of the vocabulary take away, less one for each word."""
+    low, words, i, out = candidate.lower(), _words(), 0, 0
+    while i <= len(low) - 5:
+        n = next((n for n in range(min(20, len(low) - i), 4, -1) if low[i : i + n] in words), 0)
+        out += max(0, n - 1)
+        i += n or 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, in the order of their kinds."""
     out = []
@@ -93,13 +121,11 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], per_char: float = P
         a, b = m.span()
         if any(s < b and a < e for s, e, _ in base):
             continue
-        found = m[0]
-        if not (any(c.isdigit() for c in found) and any(c.isalpha() for c in found)):
-            continue
-        if not CONTEXT.search(text[max(0, a - BEFORE) : a].lower()):
+        if not CONTEXT.search(text, max(0, a - BESIDE), a) and not CONTEXT.search(text, b, b + BESIDE):
             continue
-        added = novelty(found, text[max(0, a - AROUND) : a] + text[b : b + AROUND], dictionary)
-        if added >= max(least, per_char * (b - a)):
+        bar = max(least, per_char * (b - a))
+        added = novelty(m[0], text[max(0, a - AROUND) : a] + text[b : b + AROUND], dictionary)
+        if added >= bar and added - explained(m[0]) >= bar:
             out.append((a, b, "novel"))
     return out
 
