@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, in_slices, shared_dir
-from .vocab import byte_bpe, claim
+from .vocab import byte_bpe
 
 BLOCK_BYTES = 1 << 20
 SPAN = 1024
@@ -92,9 +92,7 @@ def flat_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -
 
 def _flatten(batches: Iterator[pa.RecordBatch], vocabulary: str, separator: int, dtype: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Blocks (payload set) of one flat file per task, and its documents' ids in order (ordinal set)."""
-    bpe = byte_bpe(vocabulary)
-    claim("chunks", bpe.cache.clear)
-    encode, part = bpe.encode, TaskContext.get().partitionId()
+    encode, part = byte_bpe(vocabulary, False).encode, TaskContext.get().partitionId()
     end = np.array([separator], dtype).tobytes()
     held, block, ordinal = bytearray(), 0, 0
 
