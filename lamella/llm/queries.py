@@ -17,8 +17,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "entropy", "symbol_share"]
-    return quality.rules(table(spark, sf_dir, "documents")).select(*names)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "chars_per_piece", "byte_share", "entropy"]
+    return quality.rules(table(spark, sf_dir, "documents"), lang_col="lang").select(*names)
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
