@@ -3,11 +3,13 @@
 Three fixed patterns are always reported.  Beyond them every token of 12
 characters or more with a sensitive word on either side is a candidate: its
 novelty is the number of bytes that it adds to the compressed size of the code
-around it, with a compressor whose dictionary holds common identifiers and the
-vocabulary of code.  What the dictionary and the neighbourhood explain costs
-little; a random string costs most of its entropy, and is reported as ``novel``.
-On so few bytes the compressor can't tell a word that its dictionary lacks from
-a random string, so words of the public vocabulary count as one byte each.
+around it (the median of three neighbourhoods: before, after, both).  The
+compressor's dictionary is trained on code words and on the most frequent parts
+of words and identifiers of the corpus itself, so that it knows how likely each
+character is; what the dictionary and the neighbourhood explain costs little, a
+random string costs all of its entropy and is reported as ``novel``.  On so few
+bytes the compressor can't tell a word that its dictionary lacks from a random
+string, so words of the public vocabulary count as one byte each.
 """
 
 from __future__ import annotations
@@ -15,15 +17,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, with_text
+from .common import cut, in_slices, most_frequent, with_text
 from .vocab import vocabulary
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -46,10 +50,14 @@ CONTEXT = re.compile(
     re.ASCII,
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
-#: Characters on either side of a candidate that prime the compressor, and of which one side must hold a sensitive word.
-AROUND, BESIDE = 160, 48
+#: Characters on either side of a candidate that prime the compressor and may hold the sensitive word.
+AROUND = 160
 #: Marginal compressed bytes per character from which a candidate is novel, and the least in all.
-PER_CHAR, LEAST = 0.62, 8
+PER_CHAR, LEAST = 0.7, 8
+#: Parts of words and identifiers, parted at changes of case; all are shorter than any candidate.
+PART = re.compile(r"[A-Z]?[a-z]{3,10}(?![a-z])|[A-Z]{4,11}(?![A-Z])")
+#: Most frequent parts that the dictionary is trained on, its size in bytes, and distinct parts that a task counts before it hands them on.
+PARTS, DICTIONARY, FLUSH = 6_000, 48 << 10, 400_000
 IDENTIFIERS = b" ".join(
     b"""abstract access_token account address algorithm allocate api_key application arguments array assert async
  attribute authorization await background base64 boolean buffer button callback certificate character class client
@@ -72,17 +80,52 @@ IDENTIFIERS = b" ".join(
 )
 
 
+def trained(parts: list[tuple[bytes, int]] = (), size: int = DICTIONARY) -> bytes:
+    """A zstandard dictionary from ``IDENTIFIERS`` and (part, count): content and the codes of characters."""
+    words = IDENTIFIERS.split()
+    most = max((n for _, n in parts), default=1)
+    weight = np.sqrt(np.array([most] * len(words) + [n for _, n in parts], float))
+    words = [*words, *(w for w, _ in parts)]
+    drawn = np.random.default_rng(3).choice(len(words), (3_000, 24), p=weight / weight.sum())
+    return zstandard.train_dictionary(size, [b" ".join(words[i] for i in row) for row in drawn], level=9).as_bytes()
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter = Counter()
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    for batch in in_slices(batches):
+        for text in batch.column("text").to_pylist():
+            seen.update(PART.findall(text or ""))
+        if len(seen) > FLUSH:
+            yield out()
+            seen.clear()
+    if seen:
+        yield out()
+
+
+def learn(docs: DataFrame, text_col: str = "text", most: int = PARTS) -> bytes:
+    """The dictionary of a corpus: parts are counted over all of its texts."""
+    counts = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(_parts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return trained(most_frequent(counts, most))
+
+
 @lru_cache(maxsize=4)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(dictionary)
     return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def novelty(candidate: str, around: str, dictionary: bytes = IDENTIFIERS) -> int:
-    """Compressed bytes that the candidate adds to its neighbourhood."""
+def novelty(candidate: str, before: str, after: str, dictionary: bytes) -> int:
+    """Compressed bytes that the candidate adds to its neighbourhood, the median of three."""
     c = _compressor(dictionary)
-    near = around.encode()
-    return len(c.compress(near + candidate.encode())) - len(c.compress(near))
+    added = []
+    for near in (before, after, before + after):
+        near = near.encode()
+        added.append(len(c.compress(near + candidate.encode())) - len(c.compress(near)))
+    return sorted(added)[1]
 
 
 @lru_cache(maxsize=1)
@@ -115,16 +158,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], per_char: float = PER_CHAR, least: int = LEAST, dictionary: bytes = IDENTIFIERS) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], dictionary: bytes, per_char: float = PER_CHAR, least: int = LEAST) -> list[tuple[int, int, str]]:
     out = []
+    named = np.array([m.span() for m in CONTEXT.finditer(text)]).reshape(-1, 2)
+    if not len(named):
+        return out
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, e, _ in base):
+        # a sensitive word that begins after the token, or ends before it, within reach
+        after, before = np.searchsorted(named[:, 0], b), np.searchsorted(named[:, 1], a, side="right") - 1
+        if not (after < len(named) and named[after, 1] <= b + AROUND) and not (before >= 0 and named[before, 0] >= a - AROUND):
             continue
-        if not CONTEXT.search(text, max(0, a - BESIDE), a) and not CONTEXT.search(text, b, b + BESIDE):
+        if any(s < b and a < e for s, e, _ in base):
             continue
         bar = max(least, per_char * (b - a))
-        added = novelty(m[0], text[max(0, a - AROUND) : a] + text[b : b + AROUND], dictionary)
+        added = novelty(m[0], text[max(0, a - AROUND) : a], text[b : b + AROUND], dictionary)
         if added >= bar and added - explained(m[0]) >= bar:
             out.append((a, b, "novel"))
     return out
@@ -154,14 +202,17 @@ def _scan(batches: Iterator[pa.RecordBatch], options: dict, carried: str | None)
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *columns], [*rest, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, **options) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, dictionary: bytes | None = None, **options) -> DataFrame:
     """One row per document: counts by kind, digests, and ``found``, the spans in code points.
 
+    dictionary: from ``learn`` or ``trained``; without it, it is learnt from the documents.
+
     With ``carry`` the whole input row comes along as struct ``row``.  A null or
     empty text has no spans; repeated rows and null ids are scanned like any
-    other; other columns are not looked at; an empty table gives no row.  No
-    shuffle.  ``options`` go to ``novel_spans``.
+    other; other columns are not looked at; an empty table gives no row.  Only
+    part counts are shuffled.  ``options`` go to ``novel_spans``.
     """
+    options["dictionary"] = learn(docs, text_col) if dictionary is None else dictionary
     rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row") if carry else F.col(text_col).alias("text"))
     kept = ", ".join(f"{n} {k}" for n, k in rows.dtypes if n != "text")
     shape = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<start: long, end: long, kind: string>>"

@@ -29,14 +29,15 @@ def test_base_spans_against_plain_patterns():
 def test_novel_strings_near_sensitive_words_only():
     rng = random.Random(7)
     random_key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
-    found = lambda t: [t[a:b] for a, b, k in secrets.novel_spans(t, secrets.base_spans(t))]
+    primed = secrets.trained()
+    found = lambda t: [t[a:b] for a, b, k in secrets.novel_spans(t, secrets.base_spans(t), primed)]
     assert found(f"the private key is {random_key} they said") == [random_key]
     assert found(f"Authorization: Bearer {random_key}") == [random_key]
     assert found(f"the nice word is {random_key} they said") == []
     assert found("the private key is getElementByIdAndReturnResponse2 they said") == []
     assert found(f"copied {random_key} twice, the key {random_key} again") == []  # the neighbourhood explains it
     assert found("the key is aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 they said") == []
-    assert secrets.novelty(random_key, "the key") >= 1.5 * secrets.novelty("configurationManagerInstance1234567890ab", "the key")
+    assert secrets.novelty(random_key, "the key", "", primed) >= 1.5 * secrets.novelty("configurationManagerInstance1234567890ab", "the key", "", primed)
 
 
 def test_query(spark, tiny):
@@ -58,3 +59,34 @@ def test_edges_and_redaction(spark):
     clean = {r["row"]["text"]: r["text"] for r in secrets.redact(got).collect()}
     assert clean["plain"] is None and clean[rows[2][1]] == "é [REDACTED] end" and clean[rows[3][1]].endswith("x [REDACTED]")
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def planted(docs, n, copies=1):
+    """Texts with a secret that no pattern knows, in the midst of them, and the secrets."""
+    rng, out = random.Random(9), []
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789ABCDEF")
+    shapes = ('signingKey, "{}"', 'put("{}", clientSecret)', "Authorization: Bearer {}", "private_key => {}", "credentials {} follow")
+    for k in range(n):
+        value = "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(20, 48)))
+        words = rng.choice(docs).split(" ")
+        words.insert(rng.randint(0, len(words)), rng.choice(shapes).format(value))
+        out += [(" ".join(words), value)] * copies
+    return out
+
+
+def test_recall_of_planted_secrets_and_clean_texts(spark, tiny):
+    """Nine in ten planted secrets are found, those that the corpus repeats among them, and few clean texts report anything."""
+    docs = [r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect() if r["text"] and len(r["text"]) > 300]
+    rows = planted(docs, 150) + planted(docs[::-1], 1, 300)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(-1 - i, t) for i, t in enumerate(docs)], "doc_id long, text string").repartition(4)
+    spans = {r["doc_id"]: r["found"] for r in secrets.scan(df).collect()}
+    caught = [any(s["start"] <= t.find(v) and t.find(v) + len(v) <= s["end"] for s in spans[i]) for i, (t, v) in enumerate(rows)]
+    assert sum(caught[:150]) >= 135 and all(caught[150:])
+    assert sum(any(s["kind"] == "novel" for s in spans[-1 - i]) for i in range(len(docs))) <= 0.02 * len(docs)
+
+
+def test_dictionary_holds_the_corpus(spark):
+    df = spark.createDataFrame([(i, f"zorblaxine frobnicator {i} " * 50) for i in range(40)], "doc_id long, text string")
+    own, plain = secrets.learn(df), secrets.trained()
+    assert own == secrets.learn(df.repartition(3))
+    assert secrets.novelty("FrobnicatorZorblaxine", "the key ", "", own) < secrets.novelty("FrobnicatorZorblaxine", "the key ", "", plain)

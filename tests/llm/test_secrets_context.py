@@ -8,8 +8,11 @@ from lamella.llm import secrets
 LETTERS, DIGITS = string.ascii_letters, string.digits
 
 
+PRIMED = secrets.trained()
+
+
 def novel(text):
-    return [text[a:b] for a, b, _ in secrets.novel_spans(text, secrets.base_spans(text))]
+    return [text[a:b] for a, b, _ in secrets.novel_spans(text, secrets.base_spans(text), PRIMED)]
 
 
 @pytest.mark.parametrize("name", ["encryptionKey", "sessionKey", "signingKey", "stripeKey", "githubToken", "clientSecret", "dbPassword", "AWSSecret", "ENCRYPTION_KEY", "sessionkey"])
