@@ -22,7 +22,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=s
         p.add_argument("path")
         if name == "schema":
             p.add_argument("--full", action="store_true")
+        if name in ("schema", "meta"):
+            p.add_argument("--compact", action="store_true", help="on one line")
         if name == "read":
+            p.add_argument("--pretty", action="store_true")
             p.add_argument("--head", type=int)
             p.add_argument("--tail", type=int)
             p.add_argument("--query", default=ALL)
@@ -33,6 +36,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=s
             p.add_argument("--schema")
             p.add_argument("--schema-file")
             p.add_argument("--metadata", help="JSON")
+            p.add_argument("--metadata-file", help="JSON")
+            p.add_argument("--compression-thresholds", help='JSON, such as {"deflate": 1.5}')
             p.add_argument("--record-group-length", type=int, default=128 << 20)
             p.add_argument("--data-page-length", type=int, default=256 << 10)
             p.add_argument("--optimize-columns", default="default")
@@ -45,13 +50,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=s
     spark = spark or SparkSession.builder.getOrCreate()
     if a.command == "write":
         text = open(a.schema_file).read() if a.schema_file else a.schema
-        write(spark.read.json(a.input), read_text(text), a.path, metadata=json.loads(a.metadata) if a.metadata else None, record_group_length=a.record_group_length, data_page_length=a.data_page_length, optimize_columns=a.optimize_columns)
+        write(spark.read.json(a.input), read_text(text), a.path, metadata=json.loads(open(a.metadata_file).read()) if a.metadata_file else json.loads(a.metadata) if a.metadata else None,
+              compression_thresholds=json.loads(a.compression_thresholds) if a.compression_thresholds else None, record_group_length=a.record_group_length, data_page_length=a.data_page_length, optimize_columns=a.optimize_columns)
         return 0
     r = Reader.open(spark, a.path)
     if a.command == "schema":
-        print(r.schema_text(a.full), file=out)
+        text = r.schema_text(a.full)
+        print(" ".join(text.split()) if a.compact else text, file=out)
     elif a.command == "meta":
-        print(json.dumps(r.metadata()), file=out)
+        print(json.dumps(r.metadata(), separators=(",", ":")) if a.compact else json.dumps(r.metadata()), file=out)
     elif a.command == "custom-types":
         print(json.dumps(r.custom_types()), file=out)
     elif a.command == "read":
@@ -59,7 +66,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=s
         view = r.read(query, [k for k in a.sub_schema_in.split(".") if k])
         view = view.tail(a.tail) if a.tail is not None else view.head(a.head) if a.head is not None else view
         for row in view.rows():
-            print(json.dumps(row, default=str, ensure_ascii=False), file=out)
+            print(json.dumps(row, default=str, ensure_ascii=False, indent=2 if a.pretty else None), file=out)
     else:
         found = r.stats()["columns" if a.columns else "record_groups" if a.record_groups else "global"]
         if a.sort_by:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-_INDEX, _FILE, _VALUE = "_index", "_file", "value"
+_INDEX, _FILE, _PART = "_index", "_file", "_part"
 
 
 def reduce(frame: DataFrame, plain, f, *init):
@@ -30,29 +30,37 @@ _VALUE_MISSING = object()
 
 
 def _runs(frames, code: bytes, record: bool):
-    """Partial folds of the contiguous runs of a partition: one row per file part that it reads."""
+    """Partial folds of the runs of a partition that rise within a part file, with their first and last positions."""
     combine, reducer = cloudpickle.loads(code)
     state = last = None
     for pdf in frames:
-        names = [c for c in pdf.columns if c not in (_INDEX, _FILE)]
-        for file, index, *values in pdf[[_FILE, _INDEX, *names]].itertuples(index=False, name=None):
-            if last is None or file != last[0] or index < last[1]:
+        names = [c for c in pdf.columns if c not in (_INDEX, _FILE, _PART)]
+        for file, index, part, *values in pdf[[_FILE, _INDEX, _PART, *names]].itertuples(index=False, name=None):
+            if last is None or file != last[0] or index < last[1] or part != last[2]:
                 if state is not None:
-                    yield pd.DataFrame([(*state[:2], pickle.dumps(state[2]))], columns=["file", "start", "state"])
-                state = [file, index, combine()]
+                    yield _run(state)
+                state = [file, index, combine(), index]
             row = dict(zip(names, values)) if record else values[0]
-            state[2] = reducer(state[2], row)
-            last = (file, index)
+            state[2:] = reducer(state[2], row), index
+            last = (file, index, part)
     if state is not None:
-        yield pd.DataFrame([(*state[:2], pickle.dumps(state[2]))], columns=["file", "start", "state"])
+        yield _run(state)
+
+
+def _run(state: list) -> pd.DataFrame:
+    file, start, value, stop = state
+    return pd.DataFrame([(file, start, stop, pickle.dumps(value))], columns=["file", "start", "stop", "state"])
 
 
 def fold(frame: DataFrame, record: bool, combine, reducer):
     """Partial folds in the tasks, one state per contiguous run of rows to the driver,
-    combined in file order from ``combine()``."""
+    combined in the order of positions from ``combine()``.  Runs that interleave, which no
+    scan of files makes, have no order to be combined in: they are an error."""
     code = cloudpickle.dumps((combine, reducer))
-    parts = frame.mapInPandas(partial(_runs, code=code, record=record), "file int, start long, state binary")
-    found = sorted((r["file"], r["start"], bytes(r["state"])) for r in parts.collect())
+    parts = frame.mapInPandas(partial(_runs, code=code, record=record), "file int, start long, stop long, state binary")
+    found = sorted(((r["file"], r["start"], r["stop"], bytes(r["state"])) for r in parts.collect()), key=lambda r: r[:3])
+    if any(a[0] == b[0] and b[1] <= a[2] and a[2] > a[1] and b[1] != a[1] for a, b in zip(found, found[1:])):
+        raise ValueError("rows were shuffled since they were read: they have no order to be folded in")
     return left_fold(combine, (pickle.loads(s) for *_, s in found), combine())
 
 

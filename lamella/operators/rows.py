@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HIDDEN = ("_index", "_file")
+HIDDEN = ("_index", "_file", "_part")
 Step = Callable[[DataFrame], DataFrame]
 
 

@@ -227,10 +227,11 @@ class Compiler:
             return Result(F.transform_values(c, lambda k, v: read(value_query, node.element, "val")(v)), stored, source=c)
         # projected keys may meet: the last entry of a key wins, a null key goes
         pairs = F.transform(F.map_entries(c), lambda e: F.struct(read(key_query, node.key, "key")(e["key"]).alias("key"), read(value_query, node.element, "val")(e["value"]).alias("value")))
-        pairs = F.filter(pairs, lambda e: e["key"].isNotNull())
-        keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
-        values = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)["value"])
-        return Result(F.map_from_arrays(keys, values), stored)
+        # sorted by key, then place: of each key the last one stays.  The inner transform names the sorted array once.
+        placed = F.filter(F.transform(pairs, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))), lambda e: e["key"].isNotNull())
+        order = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(a["i"] - b["i"])
+        last = F.transform(F.array(F.array_sort(placed, order)), lambda s: F.filter(s, lambda e, i: (i + 1 == F.size(s)) | (F.get(s, i + 1)["key"] != e["key"])))[0]
+        return Result(F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))), stored)
 
     def tagged(self, node: Node | None, tag: Tag, c: Column | None, path: tuple, repeated: bool, element: bool) -> Result:
         if isinstance(tag.query, Tag):

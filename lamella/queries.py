@@ -55,11 +55,17 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     listed = nest.group(events.select("user_id", "event_id", "event_type", "value"), "user_id", ["event_id"], "events", ["event_type", "value"])
     counted = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id")
-    maps = counted.agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("meta"), F.collect_set("event_type").alias("kinds"))
+    maps = counted.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("meta"), F.collect_set("event_type").alias("kinds"))
     return listed.join(maps, "user_id")
 
 
-FIXTURES = {"line_items": (nest.line_items, LINE_ITEM), "customers": (nest.customers, CUSTOMER), "users": (users, USER)}
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in order, for a folder of five part files."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    return events.repartitionByRange(5, "event_id").sortWithinPartitions("event_id")
+
+
+FIXTURES = {"line_items": (nest.line_items, LINE_ITEM), "customers": (nest.customers, CUSTOMER), "users": (users, USER), "parts": (parts, "{:event_id #req long :user_id long :event_type string :value double}")}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> Reader:
@@ -170,11 +176,11 @@ def map_as_vector(spark, sf_dir):
     return df.select("user_id", F.size("meta").cast("long").alias("kinds"), F.array_max(F.transform("meta", lambda e: e["value"])).alias("most"))
 
 
-@query("select user_id, left(event_type, 1) as letter, count(*) > 0 as some from events group by all")
+@query("select user_id, left(event_type, 1) as letter, arg_max(n, event_type) as n from (select user_id, event_type, count(*) as n from events group by all) group by all")
 def map_key_projection(spark, sf_dir):
     """Keys that meet after projection: one of them stays, the last."""
     view = fixture(spark, sf_dir, "users").read({"user_id": ALL, "meta": Map(Tag("first", ALL), ALL)}, readers={"first": lambda c: F.substring(c, 1, 1)})
-    return view.df.select("user_id", F.explode("meta").alias("letter", "n")).select("user_id", "letter", (F.col("n") > 0).alias("some"))
+    return view.df.select("user_id", F.explode("meta").alias("letter", "n"))
 
 
 @query("select p_partkey, p_size, cast(null as integer) as p_weight, cast(null as varchar) as maker from part")
@@ -256,8 +262,7 @@ def sample_then_index(spark, sf_dir):
 
 @query("select event_id from events order by event_id limit 25")
 def head_n(spark, sf_dir):
-    view = flat(spark, sf_dir, "events").read({"event_id": ALL})
-    return view.sample(lambda i: i < 25).df
+    return fixture(spark, sf_dir, "parts").read({"event_id": ALL}).head(25).df
 
 
 @query("select event_id from (select event_id from events order by event_id desc limit 25)")
@@ -265,6 +270,35 @@ def tail_n(spark, sf_dir):
     return flat(spark, sf_dir, "events").read({"event_id": ALL}).tail(25).df
 
 
+_PLACE = "select *, row_number() over (order by event_id) - 1 as i from events"
+
+
+@query(f"select i, event_id, user_id from ({_PLACE}) where i % 7 = 3")
+def sample_parts(spark, sf_dir):
+    """Positions run on through the part files of a folder."""
+    view = fixture(spark, sf_dir, "parts").read({"event_id": ALL, "user_id": ALL}).sample(lambda i: i % 7 == 3)
+    return view.with_index("i")
+
+
+@query("select event_id from (select event_id from events order by event_id desc limit 700)")
+def tail_parts(spark, sf_dir):
+    return fixture(spark, sf_dir, "parts").read({"event_id": ALL}).tail(700).df
+
+
+@query(f"select i * 10 + length(event_type) as value from ({_PLACE})")
+def index_parts(spark, sf_dir):
+    return fixture(spark, sf_dir, "parts").read({"event_type": ALL}).index_by(lambda i, c: i * 10 + F.length(c("event_type"))).df
+
+
+@query(f"""select file, i, event_id from (select 0 as file, i, event_id from ({_PLACE}) union all select 1, i, event_id from ({_PLACE})) where i in (0, 99, (select count(*) - 1 from events))""")
+def several_folders(spark, sf_dir):
+    """Positions begin anew in each folder of a list."""
+    path = fixture(spark, sf_dir, "parts").path
+    last = Reader.open(spark, path).num_records() - 1
+    view = FilesReader.open(spark, [path, path]).read({"event_id": ALL}).sample(lambda i: i.isin(0, 99, last))
+    return view.frame.select(F.col("_file").alias("file"), F.col("_index").alias("i"), "event_id")
+
+
 @query("select length(p_name)::integer as value from part")
 def edu_map(spark, sf_dir):
     return flat(spark, sf_dir, "part").read({"p_name": ALL}).eduction(rows.map_(F.length("p_name"))).df
@@ -321,33 +355,57 @@ def fold_cat_sum(spark, sf_dir):
 
 @query("select 1000 + count(*) as total from orders")
 def reduce_init(spark, sf_dir):
-    total = flat(spark, sf_dir, "orders").read({"o_orderkey": ALL}).eduction(rows.map_(F.lit(1))).aggregate(F.sum("value").alias("s"))
-    return total.select((F.lit(1000) + F.coalesce("s", F.lit(0))).cast("long").alias("total"))
+    """A left fold from a first value, through the driver."""
+    total = flat(spark, sf_dir, "orders").read({"o_orderkey": ALL}).reduce(lambda a, _: a + 1, 1000)
+    return spark.createDataFrame([(total,)], "total long")
+
+
+def _chain(first: str = "") -> str:
+    """A left fold whose result depends on the order of the rows."""
+    return f"select list_reduce({first}list(event_id order by event_id){')' if first else ''}, lambda a, b: (a * 31 + b) % 1000003) as chain from events"
+
+
+@query(_chain())
+def reduce_ordered(spark, sf_dir):
+    """Without a first value the first record is the seed."""
+    ids = fixture(spark, sf_dir, "parts").read({"event_id": ALL}).eduction(rows.map_(F.col("event_id")))
+    return spark.createDataFrame([(ids.reduce(lambda a, b: (a * 31 + b) % 1000003),)], "chain long")
 
 
 @query("select min(value) as low, max(value) as high, count(*) as n from events")
 def fold_custom_monoid(spark, sf_dir):
-    return flat(spark, sf_dir, "events").read({"value": ALL}).aggregate(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+    """A Python monoid, folded in the tasks."""
+    def combine(*states):
+        some = [s for s in states if s[2]] or [(None, None, 0)]
+        return min((s[0] for s in some), default=None), max((s[1] for s in some), default=None), sum(s[2] for s in some)
+
+    found = fixture(spark, sf_dir, "parts").read({"value": ALL}).fold(combine, lambda s, r: combine(s, (r["value"], r["value"], 1)))
+    return spark.createDataFrame([tuple(None if x is None else float(x) for x in found[:2]) + (found[2],)], "low double, high double, n long")
 
 
-@query("select min(event_id) as first, max(event_id) as last, count(*) as n, true as in_order from events")
+def _affine(*maps):
+    """Maps x -> m x + a, one after the other: associative, not commutative."""
+    m, a = 1, 0
+    for n, b in maps:
+        m, a = m * n % 1000003, (a * n + b) % 1000003
+    return m, a
+
+
+@query(_chain("list_prepend(0::bigint, "))
 def fold_ordered(spark, sf_dir):
-    """A Python monoid that is associative but not commutative."""
-    def combine(*states):
-        states = [s for s in states if s]
-        if not states:
-            return ()
-        out = states[0]
-        for s in states[1:]:
-            out = (out[0], s[1], out[2] + s[2], out[3] and s[3] and out[1] < s[0])
-        return out
+    """Parts are folded in the tasks and combined in the order of positions, over several part files."""
+    found = fixture(spark, sf_dir, "parts").read({"event_id": ALL}).fold(_affine, lambda s, r: _affine(s, (31, int(r["event_id"]))))
+    return spark.createDataFrame([(found[1],)], "chain long")
 
-    def add(state, row):
-        i = int(row["event_id"])
-        return combine(state, (i, i, 1, True))
 
-    found = flat(spark, sf_dir, "events").read({"event_id": ALL}).fold(combine, add)
-    return spark.createDataFrame([found] if found else [], "first long, last long, n long, in_order boolean")
+@query(f"with e as (select * from events where value > 20) select a.chain, b.n from ({_chain('list_prepend(0::bigint, ').replace('from events', 'from e')}) a, (select count(*) as n from e) b")
+def fold_cached(spark, sf_dir):
+    """Folds over what a view has kept: the steps before it run once."""
+    view = fixture(spark, sf_dir, "parts").read({"event_id": ALL, "value": ALL}).eduction(rows.filter_(F.col("value") > 20)).cache()
+    n = view.count()
+    found = view.fold(_affine, lambda s, r: _affine(s, (31, int(r["event_id"]))))
+    view.frame.unpersist()
+    return spark.createDataFrame([(found[1], n)], "chain long, n long")
 
 
 @query("select event_type as value, count(*) as n from events group by 1")
@@ -439,14 +497,14 @@ def coerce_inst_ms(spark, sf_dir):
     return validate(e.select("event_id", "ts"), "{:event_id long :ts inst}").drop("_errors")
 
 
-@query("select count(*) filter (event_id % 4 <> 0) as valid, count(*) filter (event_id % 4 = 0) as rejected from events")
+@query("select event_id, case when event_id % 4 <> 0 then user_id end as user_id, case when event_id % 4 = 0 then 'Required value at path ''[:user_id]'' is missing' end as reason from events")
 def invalid_split(spark, sf_dir):
     """Bad records are diverted, the others written."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     path = f"{scratch(spark)}/split-{uuid.uuid4().hex}"
     bad = write(e.select("event_id", F.when(F.col("event_id") % 4 == 0, F.lit(None)).otherwise(F.col("user_id")).alias("user_id")), "{:event_id #req long :user_id #req long}", path, invalid="reject")
-    valid = Reader.open(spark, path).read().df.agg(F.count("*").alias("valid"))
-    return valid.join(bad.agg(F.count("*").alias("rejected")))
+    valid = Reader.open(spark, path).read().df.select("event_id", "user_id", F.lit(None).cast("string").alias("reason"))
+    return valid.unionByName(bad.select("event_id", "user_id", F.array_join("_errors", "; ").alias("reason")))
 
 
 @query("""select o_orderkey as orderkey, case when o_orderkey % 10 = 0 then 'Required value at path ''[:info :status]'' is missing'
@@ -516,26 +574,53 @@ def uuid_roundtrip(spark, sf_dir):
     return out.select(fn.bytes_to_uuid(fn.uuid_to_bytes(F.col("id"))).alias("id"), "partkey")
 
 
-@query("select 'users' as name, count(distinct user_id) as num_records, 6::bigint as num_columns from events")
+@query("select 'users' as name, count(distinct user_id) as num_records, 6::bigint as num_columns, true as grouped, true as adds_up, true as headed from events")
 def stats_global(spark, sf_dir):
     found = fixture(spark, sf_dir, "users").stats()["global"]
-    return found.select(F.lit("users").alias("name"), "num_records", "num_columns")
+    c = F.col
+    adds_up = (c("length") == c("data_length") + c("dictionary_length") + c("metadata_length")) & (c("metadata_length") > 0)
+    inner = c("data_header_length") + c("repetition_levels_length") + c("definition_levels_length")
+    headed = (c("data_header_length") > 0) & (inner < c("data_length")) & (c("dictionary_header_length") < c("dictionary_length")) & (c("repetition_levels_length") > 0)
+    return found.select(F.lit("users").alias("name"), "num_records", "num_columns", (c("num_record_groups") >= c("num_files")).alias("grouped"), adds_up.alias("adds_up"), headed.alias("headed"))
 
 
-@query("select 'user_id' as path, count(distinct user_id) as num_values, count(distinct user_id) as num_non_nil_values from events union all select 'events.list.element.value', count(*), count(value) from events")
+@query("""with kinds as (select count(distinct event_type) as n from events)
+select 'user_id' as path, 'INT64' as type, 0 as max_repetition_level, count(distinct user_id) as num_values, count(distinct user_id) as num_non_nil_values, true as paged, 0::bigint as entries from events
+union all select 'events.list.element.value', 'DOUBLE', 1, count(*), count(value), true, null from events
+union all select 'events.list.element.event_type', 'BYTE_ARRAY', 1, count(*), count(event_type), true, (select n from kinds) from events""")
 def stats_columns(spark, sf_dir):
-    found = fixture(spark, sf_dir, "users").stats()["columns"].where(F.col("path").isin("user_id", "events.list.element.value"))
-    return found.select("path", "num_values", "num_non_nil_values")
+    """Entries of the dictionary per chunk, of a column of ids (which the fixture's size leaves without one) and of one of names."""
+    found = fixture(spark, sf_dir, "users").stats()["columns"].where(F.col("path").isin("user_id", "events.list.element.value", "events.list.element.event_type"))
+    per_chunk = F.round(F.col("num_dictionary_values") / F.col("num_column_chunks")).cast("long")
+    entries = F.when(F.col("path") == "user_id", F.lit(0).cast("long")).when(F.col("path").endswith("event_type"), per_chunk)
+    return found.select("path", "type", "max_repetition_level", "num_values", "num_non_nil_values", (F.col("num_pages") >= F.col("num_column_chunks")).alias("paged"), entries.alias("entries"))
 
 
-@query("select count(*) as num_records from lineitem")
+@query("select count(*) as num_records, true as numbered, true as measured from lineitem")
 def stats_record_groups(spark, sf_dir):
-    return flat(spark, sf_dir, "lineitem").stats()["record_groups"].agg(F.sum("num_records").alias("num_records"))
+    found = flat(spark, sf_dir, "lineitem").stats()["record_groups"]
+    return found.agg(F.sum("num_records").alias("num_records"), (F.max("record_group") == F.count("*") - 1).alias("numbered"), F.min((F.col("length") > F.col("data_header_length")) & (F.col("num_column_chunks") == 11)).alias("measured"))
+
+
+_WHOLE, _REAL, _TEXT = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), ("l_returnflag", "l_linestatus")
+
+
+def _advice() -> str:
+    def of(name: str, plain: str, width: str, vlq: str) -> str:
+        return f"select '{name}' as path, '{plain}' as plain, count({name})::double as n, greatest(1, count(distinct {name}))::double as d, avg({width})::double as w, {vlq}::double as v from lineitem"
+
+    each = [of(c, "plain", f"case when typeof({c}) = 'BIGINT' then 8 else 4 end", f"avg(greatest(1, ceil(length(bin({c}::bigint * 2)) / 7.0)))") for c in _WHOLE]
+    each += [of(c, "plain", "8", "null") for c in _REAL] + [of(c, "delta-length", f"length({c}) + 4", "null") for c in _TEXT]
+    return f"""with s as ({' union all '.join(each)}),
+costs as (select path, plain as encoding, n * w as cost from s union all select path, 'vlq', n * v from s where v is not null
+  union all select path, 'dictionary', d * w + n * greatest(1, length(bin((d - 1)::bigint)) - case when d = 1 then 1 else 0 end) / 8 from s where d * w <= 262144)
+select path, n::bigint as num_values, arg_min(encoding, cost) as encoding from costs join s using (path) group by all"""
 
 
-@query()
+@query(_advice())
 def storage_advice(spark, sf_dir):
-    return advise.advise(flat(spark, sf_dir, "lineitem").read().df)
+    df = flat(spark, sf_dir, "lineitem").read({c: ALL for c in (*_WHOLE, *_REAL, *_TEXT)}).df
+    return advise.advise(df).select("path", "num_values", "encoding")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,11 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def sidecar(spark: SparkSession, path: str) -> dict:
     at = f"{path}/{SIDECAR}"
     return json.loads(read_text(spark, at)) if exists(spark, at) else {}
@@ -95,13 +101,12 @@ def footers(spark: SparkSession, path: str) -> list[dict]:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: the cluster's checkpoint folder, or a local one where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a local master may do with a temporary one."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
         return found
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lamella-"))
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lamella-"))
     return sc.getCheckpointDir()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,12 @@ from ..types import CustomType, Types
 from . import files, stats
 
 VALUE = "value"
-#: Position in the file, the file's place in the list, and the record, inside a view.
+#: Position in the file or folder, its place in the list, and the record, inside a view.
 INDEX, FILE, RECORD = "_index", "_file", "_record"
+#: The position at which the row's part file begins.
+PART = "_part"
+#: Part files of which (path hash, first position) is broadcast, about 2 MB; with more of them it is joined.
+PARTS_BROADCAST = 1 << 16
 
 
 def _known(options: dict, allowed: Sequence[str]) -> None:
@@ -42,10 +46,10 @@ class View:
     @property
     def df(self) -> DataFrame:
         """The records as a DataFrame, without positions."""
-        return self.frame.drop(INDEX, FILE) if self.bare is None else self.bare
+        return self.frame.drop(INDEX, FILE, PART) if self.bare is None else self.bare
 
     def with_index(self, name: str = "index") -> DataFrame:
-        return self.frame.withColumnRenamed(INDEX, name).drop(FILE)
+        return self.frame.withColumnRenamed(INDEX, name).drop(FILE, PART)
 
     def sample(self, f: Callable[[Column], Column]) -> View:
         """Rows whose position in their file satisfies ``f``; once, and before any transform."""
@@ -61,7 +65,7 @@ class View:
             raise ValueError("Cannot define multiple index functions")
         if self._changed:
             raise ValueError("index_by must come before any transform")
-        made = self.frame.select(f(F.col(INDEX), F.col).alias(VALUE), INDEX, FILE)
+        made = self.frame.select(f(F.col(INDEX), F.col).alias(VALUE), INDEX, FILE, PART)
         return replace(self, frame=made, bare=None, record=False, _indexed=True)
 
     def eduction(self, *steps: Callable[[DataFrame], DataFrame]) -> View:
@@ -69,13 +73,23 @@ class View:
         frame, bare = self.frame, self.bare
         for step in steps:
             frame, bare = step(frame), None if bare is None else step(bare)
-        return replace(self, frame=frame, bare=bare, record=self.record and VALUE not in frame.columns, _changed=True)
+        record = self.record and (frame.columns == self.frame.columns or [c for c in frame.columns if c not in (INDEX, FILE, PART)] != [VALUE])
+        return replace(self, frame=frame, bare=bare, record=record, _changed=True)
 
     def head(self, n: int) -> View:
-        return replace(self, frame=self.frame.limit(n), bare=None if self.bare is None else self.bare.limit(n), _changed=True)
+        """The first n rows by position; once sampled or transformed, those of least position that are left."""
+        if self._counts is None or self._changed or self._sampled:
+            return replace(self, frame=self.frame.orderBy(FILE, INDEX).limit(n), bare=None, _changed=True)
+        cond, left = F.lit(False), n
+        for number, count in enumerate(self._counts()):
+            cond = cond | ((F.col(FILE) == number) & (F.col(INDEX) < min(count, left)))
+            left -= min(left, count)
+            if not left:
+                break
+        return replace(self, frame=self.frame.where(cond), bare=None, _changed=True)
 
     def tail(self, n: int) -> View:
-        """The last n rows of the last file, by position; over several files the rest from those before."""
+        """The last n rows of the last file or folder, by position; of several the rest from those before."""
         if self._counts is None or self._changed:
             raise ValueError("tail needs an untransformed view of files")
         cond, left = F.lit(False), n
@@ -86,9 +100,13 @@ class View:
                 break
         return replace(self, frame=self.frame.where(cond), bare=None, _changed=True)
 
+    def cache(self) -> View:
+        """The same view, kept in memory and on disk once it is first run; folds then start from what is kept."""
+        return replace(self, frame=self.frame.persist(), bare=None)
+
     def ordered(self) -> DataFrame:
         """Rows in file order."""
-        return self.frame.orderBy(FILE, INDEX).drop(FILE, INDEX)
+        return self.frame.orderBy(FILE, INDEX).drop(FILE, INDEX, PART)
 
     def count(self) -> int:
         return self.df.count()
@@ -102,7 +120,7 @@ class View:
         return map(self._plain, self.frame.orderBy(FILE, INDEX).toLocalIterator())
 
     def _plain(self, row):
-        found = {k: v for k, v in row.asDict(True).items() if k not in (INDEX, FILE)}
+        found = {k: v for k, v in row.asDict(True).items() if k not in (INDEX, FILE, PART)}
         if not self.record:
             return found[VALUE]
         return found if any(v is not None for v in found.values()) else None
@@ -225,8 +243,25 @@ def _read(reader: Reader, number: int, query, path, lenient, tags, more) -> View
         kind = data.select(value.alias(RECORD)).schema[RECORD].dataType
         record = isinstance(kind, T.StructType)
         made = [value[n].alias(n) for n in kind.names] if record else [value.alias(VALUE)]
-    frame = data.select(*made, F.col("_metadata.row_index").alias(INDEX), F.lit(number).alias(FILE))
-    return View(frame, record, data.select(*made), _counts=lambda: [reader.num_records()])
+    return View(_positioned(reader, data, made, number), record, data.select(*made), _counts=lambda: [reader.num_records()])
+
+
+def _positioned(reader: Reader, data: DataFrame, made: list[Column], number: int) -> DataFrame:
+    """Records with their positions, which run on from part file to part file in name order.
+
+    Spark numbers the rows of each part file; the files' row counts, from a scan
+    of no columns, give the position at which each begins.
+    """
+    parts = len(files.data_files(reader.spark, reader.path))
+    row = F.col("_metadata.row_index")
+    if parts <= 1:
+        return data.select(*made, row.alias(INDEX), F.lit(number).alias(FILE), F.lit(0).cast("long").alias(PART))
+    counts = reader.spark.read.parquet(reader.path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row per part file
+    begins = counts.select(F.xxhash64("path").alias("_path"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(PART))
+    rows = data.select(*made, row.alias(INDEX), F.xxhash64("_metadata.file_path").alias("_path"))
+    joined = rows.join(F.broadcast(begins) if parts <= PARTS_BROADCAST else begins, "_path").drop("_path")
+    return joined.withColumn(INDEX, F.col(PART) + F.col(INDEX)).withColumn(FILE, F.lit(number))
 
 
 __all__ = ["FILE", "FilesReader", "INDEX", "Reader", "VALUE", "View", "to_spark"]

@@ -1,51 +1,57 @@
-"""Storage statistics from Parquet footers, as small DataFrames."""
+"""Storage statistics as small DataFrames, aggregated from the rows of ``footers.chunks``."""
 
 from __future__ import annotations
 
-from collections import defaultdict
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from .footers import chunks
 
-from .files import footers
+_LENGTHS = ("data_header_length", "dictionary_header_length", "repetition_levels_length", "definition_levels_length")
 
 
 def num_records(spark: SparkSession, path: str) -> int:
-    return sum(g["num_records"] for f in footers(spark, path) for g in f["groups"])
+    """A count of no columns, which Spark answers from the footers, in tasks."""
+    try:
+        return spark.read.parquet(path).count()
+    except Exception as e:
+        if "FAILED_READ_FILE" in str(e) or "CANNOT_READ" in str(e) or "is not a Parquet file" in str(e):
+            raise ValueError(f"{path} is not a valid Parquet file") from e
+        raise
+
+
+def _sum(name: str):
+    return F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(name)
 
 
 def global_stats(spark: SparkSession, path: str) -> DataFrame:
     """One row: records, files, row groups, columns and byte counts."""
-    found = footers(spark, path)
-    chunks = [c for f in found for g in f["groups"] for c in g["columns"]]
-    length, data, dictionary = sum(f["length"] for f in found), sum(c["data_length"] for c in chunks), sum(c["dictionary_length"] for c in chunks)
-    row = (sum(g["num_records"] for f in found for g in f["groups"]), len(found), sum(len(f["groups"]) for f in found), len({c["path"] for c in chunks}), length, data - dictionary, dictionary, length - data)
-    return spark.createDataFrame([row], "num_records long, num_files long, num_record_groups long, num_columns long, length long, data_length long, dictionary_length long, metadata_length long")
+    found = chunks(spark, path)
+    groups = found.where("record_group >= 0").groupBy("file", "record_group").agg(F.max("num_records").alias("n")).agg(_sum("n").name("num_records"), F.count("*").alias("num_record_groups"))
+    files = found.groupBy("file").agg(F.max("file_length").alias("length")).agg(F.count("*").alias("num_files"), _sum("length"))
+    columns = found.agg(F.count_distinct("path").alias("num_columns"), _sum("length").name("chunks"), _sum("dictionary_length"), *map(_sum, _LENGTHS))
+    one = groups.crossJoin(files).crossJoin(columns)  # one row each
+    data = F.col("chunks") - F.col("dictionary_length")
+    return one.select("num_records", "num_files", "num_record_groups", "num_columns", "length", data.alias("data_length"), "dictionary_length", (F.col("length") - F.col("chunks")).alias("metadata_length"), *_LENGTHS)
 
 
 def column_stats(spark: SparkSession, path: str) -> DataFrame:
-    """One row per leaf: type, encodings, compression, levels, values and byte counts."""
-    total: dict[str, list[dict]] = defaultdict(list)
-    for f in footers(spark, path):
-        for g in f["groups"]:
-            for c in g["columns"]:
-                total[c["path"]].append(c)
-    rows = []
-    for name, cs in total.items():
-        nulls = None if any(c["num_nulls"] is None for c in cs) else sum(c["num_nulls"] for c in cs)
-        values = sum(c["num_values"] for c in cs)
-        rows.append((
-            name, cs[0]["type"], ",".join(sorted({e for c in cs for e in c["encodings"].split(",")})), ",".join(sorted({c["compression"] for c in cs})),
-            cs[0]["max_repetition_level"], cs[0]["max_definition_level"], values, None if nulls is None else values - nulls, len(cs),
-            sum(c["data_length"] for c in cs), sum(c["uncompressed_length"] for c in cs), sum(c["dictionary_length"] for c in cs),
-        ))
-    return spark.createDataFrame(rows, "path string, type string, encodings string, compression string, max_repetition_level int, max_definition_level int, num_values long, num_non_nil_values long, num_column_chunks long, length long, uncompressed_length long, dictionary_length long")
+    """One row per leaf: type, encodings, compression, levels, values, pages and byte counts."""
+    found = chunks(spark, path).where("record_group >= 0")
+    nulls = F.when(F.count("num_nulls") == F.count("*"), F.sum("num_nulls"))
+    encodings = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("encodings", ","))))), ",")
+    return found.groupBy("path").agg(
+        F.first("type").alias("type"), encodings.alias("encodings"), F.array_join(F.array_sort(F.collect_set("compression")), ",").alias("compression"),
+        F.max("max_repetition_level").alias("max_repetition_level"), F.max("max_definition_level").alias("max_definition_level"),
+        F.sum("num_values").alias("num_values"), (F.sum("num_values") - nulls).alias("num_non_nil_values"), F.sum("num_dictionary_values").alias("num_dictionary_values"),
+        F.count("*").alias("num_column_chunks"), F.sum("num_pages").alias("num_pages"), F.sum("length").alias("length"), F.sum("uncompressed_length").alias("uncompressed_length"),
+        F.sum("dictionary_length").alias("dictionary_length"), *[F.sum(n).alias(n) for n in _LENGTHS],
+    )
 
 
 def group_stats(spark: SparkSession, path: str) -> DataFrame:
-    """One row per row group, in file order."""
-    rows, at = [], 0
-    for f in footers(spark, path):
-        for g in f["groups"]:
-            rows.append((at, f["path"], g["num_records"], len(g["columns"]), g["length"], sum(c["dictionary_length"] for c in g["columns"])))
-            at += 1
-    return spark.createDataFrame(rows, "record_group long, file string, num_records long, num_column_chunks long, length long, dictionary_length long")
+    """One row per row group, numbered in file order."""
+    found = chunks(spark, path).where("record_group >= 0").groupBy("file", "record_group")
+    each = found.agg(F.max("num_records").alias("num_records"), F.count("*").alias("num_column_chunks"), F.max("group_length").alias("length"), F.sum("dictionary_length").alias("dictionary_length"), *[F.sum(n).alias(n) for n in _LENGTHS])
+    order = Window.orderBy("file", "record_group")  # one row per row group
+    return each.withColumn("record_group", (F.row_number().over(order) - 1).cast("long")).select("record_group", "file", "num_records", "num_column_chunks", "length", "dictionary_length", *_LENGTHS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from ..plans.project import show
 from ..schema import Node, as_entries, depict, parse, read_text, to_spark
 from ..types import CustomType, Types
 from . import files
+from .footers import chunks
 
 ERRORS = "_errors"
 OPTIONS = ("record_group_length", "data_page_length", "optimize_columns", "compression_thresholds", "invalid", "ignore_extra_fields", "custom_types", "metadata")
@@ -214,11 +216,46 @@ def rejects(df: DataFrame, schema, types: Types = Types(), root: str | None = No
     return df.where(bad).withColumn(ERRORS, messages)
 
 
+def _leaves(node: Node, path: tuple = ()) -> list[tuple[str, Node]]:
+    """Leaves with their paths in the Parquet file."""
+    if node.kind == "leaf":
+        return [(".".join(path), node)]
+    if node.kind == "record":
+        return [x for name, child in node.fields for x in _leaves(child, (*path, name))]
+    if node.kind == "map" and not as_entries(node):
+        return _leaves(node.key, (*path, "key_value", "key")) + _leaves(node.element, (*path, "key_value", "value"))
+    if node.kind == "map":
+        return _leaves(node.key, (*path, "list", "element", "key")) + _leaves(node.element, (*path, "list", "element", "value"))
+    return _leaves(node.element, (*path, "list", "element"))
+
+
+def encoding_options(node: Node, optimize: str, root: str | None = None) -> dict[str, str]:
+    """Parquet's settings for the encodings of a schema.
+
+    Version 2 pages hold delta-coded integers and incrementally coded strings;
+    a leaf gets these where its dictionary is off.  ``all``: dictionaries are
+    tried on every leaf; ``default``: on all but those with another stated
+    encoding; ``none``: on those alone whose stated encoding is one.
+    """
+    out = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false" if optimize == "none" else "true"}
+    for path, leaf in _leaves(node, (root,) if root else ()):
+        tabled = leaf.encoding in ("dictionary", "frequency", "packed-run-length")
+        if optimize == "none" and tabled:
+            out[f"parquet.enable.dictionary#{path}"] = "true"
+        elif optimize == "default" and not tabled and leaf.encoding != "plain":
+            out[f"parquet.enable.dictionary#{path}"] = "false"
+    return out
+
+
 def write(df: DataFrame, schema, path: str, xform: Callable[[DataFrame], DataFrame] | None = None, root: str | None = None, **options) -> DataFrame | None:
     """Write records under ``path``, replacing what was there.
 
-    xform: a transform before validation.  With ``invalid="reject"`` the rejected
-    records are returned as a DataFrame: the input's columns and ``_errors``.
+    xform: a transform before validation.  With ``invalid="reject"`` the input is
+    judged once, and the rejected records are returned as a DataFrame: the
+    input's columns and ``_errors``.  A threshold of compression is the least
+    ratio of uncompressed to compressed length; Parquet has one codec for all
+    columns here, so it is the whole's ratio that is measured, and a folder
+    below it is written again without compression.
     """
     opts = WriteOptions.of(options)
     types = Types.of(*opts.custom_types)
@@ -229,19 +266,34 @@ def write(df: DataFrame, schema, path: str, xform: Callable[[DataFrame], DataFra
     if extra and not opts.ignore_extra_fields:
         raise ValueError(f"Field(s) not in schema: {', '.join(map(show, extra))}")
     values, bad, messages = _shaped(df, node, types, root)
+    turned = None
     if bad is None:
         good = df.select(*values)
     elif opts.invalid == "reject":
-        good = df.where(~bad).select(*values)
+        files.scratch(df.sparkSession)
+        judged = df.select(F.when(~bad, F.struct(*values)).alias("good"), F.when(bad, F.struct("*")).alias("bad"), F.when(bad, messages).alias(ERRORS)).checkpoint()
+        good, turned = judged.where("good is not null").select("good.*"), judged.where("bad is not null").select("bad.*", ERRORS)
     else:
         failed = F.raise_error(F.concat(F.lit("Failed to write record: "), messages[0]))
         good = df.where(F.when(bad, failed.cast("boolean")).otherwise(F.lit(True))).select(*values)
-    writer = good.write.mode("overwrite").option("parquet.block.size", max(1, opts.record_group_length)).option("parquet.page.size", max(1, opts.data_page_length))
-    writer = writer.option("parquet.enable.dictionary", "false" if opts.optimize_columns == "none" else "true")
-    if opts.compression_thresholds is not None:
-        writer = writer.option("compression", "gzip" if opts.compression_thresholds else "none")
-    writer.parquet(path)
     spark = df.sparkSession
+
+    def save(rows: DataFrame, to: str, codec: str | None) -> None:
+        settings = {"parquet.block.size": max(1, opts.record_group_length), "parquet.page.size": max(1, opts.data_page_length)} | encoding_options(node, opts.optimize_columns, root)
+        writer = rows.write.mode("overwrite").options(**settings)
+        (writer.option("compression", codec) if codec else writer).parquet(to)
+
+    ratio = (opts.compression_thresholds or {}).get("deflate")
+    save(good, path, None if opts.compression_thresholds is None else "gzip" if ratio else "none")
+    if ratio:
+        found = chunks(spark, path).agg(F.sum("uncompressed_length"), F.sum("length")).first()
+        if found[1] and found[0] / found[1] < ratio:
+            again = f"{files.scratch(spark)}/again-{uuid.uuid4().hex}"
+            save(spark.read.parquet(path), again, "none")
+            save(spark.read.parquet(again), path, "none")
+            files.delete(spark, again)
     notes = {"schema": depict(node, False), "metadata": opts.metadata, "custom_types": {c.name: c.base for c in opts.custom_types}}
     files.write_text(spark, f"{path}/{files.SIDECAR}", json.dumps(notes))
-    return rejects(df, node, types, root) if opts.invalid == "reject" else None
+    if opts.invalid == "reject":
+        return rejects(df, node, types, root) if turned is None else turned
+    return None

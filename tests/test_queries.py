@@ -39,8 +39,3 @@ def test_query(spark, duck, tiny, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 5
-
-
-def test_storage_advice(spark, tiny):
-    found = {r["path"]: r["encoding"] for r in core.storage_advice(spark, tiny).collect()}
-    assert found["l_returnflag"] == "dictionary"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella import ALL, CustomType, FilesReader, Reader, rejects, validate, write
+from lamella.schema import Map, Tag
 from lamella.cli import main
 from lamella.operators import distinct, rows
 from lamella.sources import texts
@@ -57,6 +58,75 @@ def test_folds(numbers):
     assert joined == list(range(1000))
 
 
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """1,000 records in order, in seven part files of uneven size."""
+    path = str(tmp_path_factory.mktemp("parts") / "f")
+    write(spark.range(0, 1000, 1, 7).selectExpr("id", "id % 10 kind").where("id < 150 or id > 160"), "{:id #req long :kind long}", path, record_group_length=1024)
+    return Reader.open(spark, path)
+
+
+def test_positions_run_on_through_a_folder(folder):
+    ids = [i for i in range(1000) if i < 150 or i > 160]
+    v = folder.read({"id": ALL})
+    assert [r["id"] for r in v.rows()] == ids and v.first() == {"id": 0} and folder.num_records() == len(ids)
+    assert sorted((r["index"], r["id"]) for r in v.with_index().collect()) == list(enumerate(ids))
+    assert [r["id"] for r in v.sample(lambda i: i < 5).rows()] == ids[:5]
+    assert [r["id"] for r in v.tail(400).rows()] == ids[-400:] and [r["id"] for r in v.head(300).rows()] == ids[:300]
+    assert v.tail(5000).count() == v.head(5000).count() == len(ids) and v.head(0).count() == 0
+    assert [r["id"] for r in v.sample(lambda i: i % 2 == 1).head(3).rows()] == ids[1:7:2]
+    assert list(v.index_by(lambda i, c: i * 1000 + c("id")).rows()) == [i * 1000 + x for i, x in enumerate(ids)]
+    assert v.reduce(lambda a, r: [*a, r["id"]], []) == ids
+    join = lambda *s: [x for p in s for x in p]
+    assert v.fold(join, lambda s, r: [*s, int(r["id"])]) == ids
+    kept = v.eduction(rows.filter_(F.col("id") % 3 == 0)).cache()
+    assert kept.fold(join, lambda s, r: [*s, int(r["id"])]) == [i for i in ids if i % 3 == 0] == kept.reduce(lambda a, r: [*a, r["id"]], [])
+    with pytest.raises(ValueError, match="shuffled"):
+        folder.read().eduction(lambda df: df.repartition(4, "kind").sortWithinPartitions("id")).fold(join, lambda s, r: [*s, int(r["id"])])
+
+
+def test_positions_with_more_part_files_than_are_broadcast(folder, monkeypatch):
+    monkeypatch.setattr("lamella.sources.reader.PARTS_BROADCAST", 2)
+    assert [r["id"] for r in folder.read({"id": ALL}).tail(3).rows()] == [997, 998, 999]
+
+
+def test_encodings_reach_the_file(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id a", "id b", "concat('user-', lpad(id, 8, '0')) c", "id % 7 d", "concat('x', id % 3) e").coalesce(1)
+    schema = "{:a #req #col [long delta] :b long :c #col [string incremental] :d #col [long dictionary] :e string}"
+    found = {}
+    for optimize in ("all", "default", "none"):
+        path = str(tmp_path / optimize)
+        write(df, schema, path, optimize_columns=optimize)
+        r = Reader.open(spark, path)
+        found[optimize] = {x["path"]: x for x in r.stats()["columns"].collect()}
+        assert r.read().df.exceptAll(df).count() == 0 and r.num_records() == 5000
+    default, none, every = found["default"], found["none"], found["all"]
+    assert "DELTA_BINARY_PACKED" in default["a"]["encodings"] and default["a"]["num_dictionary_values"] == 0
+    assert "DELTA_BYTE_ARRAY" in default["c"]["encodings"] and default["e"]["num_dictionary_values"] == 3
+    assert none["d"]["num_dictionary_values"] == 7 and none["e"]["num_dictionary_values"] == 0
+    assert every["a"]["num_dictionary_values"] > 0 or "DELTA_BINARY_PACKED" in every["a"]["encodings"]
+    one = default["e"]
+    assert one["num_pages"] >= 2 and one["definition_levels_length"] > 0 == one["repetition_levels_length"] and 0 < one["data_header_length"] < one["length"] and one["dictionary_header_length"] > 0
+
+
+def test_compression_ratio_decides(spark, tmp_path):
+    import os
+
+    same, noise = spark.range(20_000).selectExpr("'the same text' s"), spark.createDataFrame([(os.urandom(64).hex(),) for _ in range(2000)], "s string")
+    for df, least, want in ((same, 1.5, "GZIP"), (noise, 1000.0, "UNCOMPRESSED"), (same, None, "UNCOMPRESSED")):
+        path = str(tmp_path / f"{want}{least}")
+        write(df, "{:s string}", path, compression_thresholds={"deflate": least} if least else {}, optimize_columns="none")
+        r = Reader.open(spark, path)
+        assert {x["compression"] for x in r.stats()["columns"].collect()} == {want} and r.num_records() == df.count()
+
+
+def test_last_of_the_keys_that_meet_wins(spark, tmp_path):
+    path = str(tmp_path / "f")
+    write(spark.sql("select map('ab', 1, 'ac', 2, 'b', 3, 'ad', 4) m"), "{:m {string int}}", path)
+    view = Reader.open(spark, path).read({"m": Map(Tag("first", ALL), ALL)}, readers={"first": lambda c: F.substring(c, 1, 1)})
+    assert next(iter(view.rows()))["m"] == {"a": 4, "b": 3}
+
+
 def test_several_files(spark, tmp_path):
     paths = [str(tmp_path / n) for n in "ba"]
     for k, p in enumerate(paths):
@@ -177,5 +247,10 @@ def test_command_line(spark, numbers, tmp_path, capsys):
     for args, want in ((["schema", out], "{:a #req long}"), (["meta", out], '{"x": 1}'), (["custom-types", out], "{}"), (["read", out, "--tail", "1", "--query", "{:a _}"], '{"a": 2}')):
         main(args, spark, sys.stdout)
         assert capsys.readouterr().out.strip() == want
+    (tmp_path / "meta.json").write_text('{"from": "a file"}')
+    main(["write", out, "--input", str(tmp_path / "in.json"), "--schema", "{:a #req long}", "--metadata-file", str(tmp_path / "meta.json"), "--compression-thresholds", '{"deflate": 0.01}'], spark)
+    for args, want in ((["meta", out, "--compact"], '{"from":"a file"}'), (["schema", out, "--compact"], "{:a #req long}"), (["read", out, "--head", "1", "--pretty"], '{\n  "a": 1\n}')):
+        main(args, spark, sys.stdout)
+        assert capsys.readouterr().out.strip() == want
     main(["stats", out, "--columns", "--sort-by", "path", "--desc"], spark, sys.stdout)
     assert json.dumps("INT64") not in capsys.readouterr().out
