@@ -27,16 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a local master may do with a temporary one."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
         return found
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lamella-"))
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lamella-"))
     return sc.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: later plans read the rows back from shared storage."""
     shared_dir(df.sparkSession)
@@ -85,11 +91,9 @@ def map_texts(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
 
 #: Fewer keys than this can hold more than 1/SPREAD of all rows each, so these may be broadcast.
 SPREAD = 1_024
-#: A table of so few rows has no key that makes a long task.
-LIGHT = 16_384
 
 
-def meet(rows: DataFrame, groups: DataFrame, key: str, total: int, light: int = LIGHT) -> DataFrame:
+def meet(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of ``rows`` to ``groups`` on ``key``, the rows of hot keys spread over all tasks.
 
     groups: one row per key, with a column ``n``, the number of its rows; total:
@@ -97,9 +101,7 @@ def meet(rows: DataFrame, groups: DataFrame, key: str, total: int, light: int =
     There are fewer than SPREAD of these, whatever the data: they are broadcast,
     and their rows stay where they lie.  All other keys meet in a shuffle.
     """
-    if total <= light:
-        return rows.join(groups, key)
-    bar = max(light // 16, total // SPREAD)
+    bar = total // SPREAD
     hot, rest = F.broadcast(groups.where(F.col("n") > bar)), groups.where(F.col("n") <= bar)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
@@ -131,7 +133,7 @@ def most_frequent(counts: DataFrame, room: int) -> list[tuple[bytes, int]]:
     return sorted(zip(found["word"].to_pylist(), found["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
-def components(edges: DataFrame, most_rounds: int = 60, light: int = LIGHT) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table (a, b): one row (node, label) per node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the
@@ -145,11 +147,9 @@ def components(edges: DataFrame, most_rounds: int = 60, light: int = LIGHT) -> D
     for _ in range(most_rounds):
         both = state.unionByName(state.selectExpr("b a", "a b"))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).selectExpr("a", "least(a, m) m", "n")
-        large = meet(both, low, "a", total, light).where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
-        if total > light:
-            large = cut(large)
+        large = cut(meet(both, low, "a", total).where("b > a").selectExpr("b a", "m b").where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = meet(large, low, "a", total, light).where("b <> m").selectExpr("b a", "m b").unionByName(low.selectExpr("a", "m b"))
+        small = meet(large, low, "a", total).where("b <> m").selectExpr("b a", "m b").unionByName(low.selectExpr("a", "m b"))
         state = cut(small.distinct())
         now = state.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:

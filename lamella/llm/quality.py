@@ -1,9 +1,8 @@
 """Quality rules by tokeniser fertility.
 
-Each whole text is encoded with two public vocabularies.  Per text: characters
-per token of a byte-level BPE and per piece of a SentencePiece vocabulary, the
-latter's share of byte-fallback pieces, and the entropy of the BPE's tokens in
-bits.  A text is rejected outside the bands of its language, or else of its
+Each whole text is encoded with a public SentencePiece vocabulary.  Per text:
+characters per token, share of byte-fallback tokens, and entropy of the tokens
+in bits.  A text is rejected outside the bands of its language, or else of its
 script, or else of all texts.
 
 The bands are fitted to the table itself, over all texts that pass the base
@@ -30,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPREAD, cut, in_slices, texts, with_text
-from .vocab import byte_bpe, pieces
+from .vocab import pieces
 
 SYMBOLS = b"#*$%&|<>"
 #: White space and the continuation bytes of UTF-8: without them a byte is a code point.
 _NOT_CHARS = b"\x20\x09\x0a\x0b\x0c\x0d" + bytes(range(0x80, 0xC0))
 #: Interquartile ranges from the median to the lower and the upper end of a band.
-REACH = {"chars_per_token": (3.5, 3.5), "chars_per_piece": (3.5, 3.5), "byte_share": (None, 6.0), "entropy": (2.5, 6.0)}
+REACH = {"chars_per_token": (3.5, 3.5), "byte_share": (None, 6.0), "entropy": (2.5, 6.0)}
 #: Ranges count as this wide at least: a group may be nothing but near copies.
-NARROW = {"chars_per_token": 0.3, "chars_per_piece": 0.3, "byte_share": 0.01, "entropy": 0.05}
+NARROW = {"chars_per_token": 0.3, "byte_share": 0.01, "entropy": 0.05}
 #: What stands for the root of the number of tokens in a group of several languages.
 MIXED = 16.0
 #: Bands of such a group are wider by this factor: its commonest language makes the range, and others differ from it.
@@ -91,8 +90,8 @@ def entropy(ids: np.ndarray) -> float:
 
 
 class Meter:
-    def __init__(self, bpe: str, piece: str):
-        self.bpe, self.sp = byte_bpe(bpe, False), pieces(piece)
+    def __init__(self, vocabulary: str):
+        self.sp = pieces(vocabulary)
         self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.sp.get_piece_size())])
 
     def measure(self, text: bytes | None) -> dict:
@@ -108,24 +107,21 @@ class Meter:
                 seen.add(line)
         out = {
             "n_words": len(words), "word_chars": len(text.translate(None, _NOT_CHARS)), "n_symbols": len(text) - len(text.translate(None, SYMBOLS)), "n_dup_lines": dup,
-            "n_repeat_words": repeated(rows), "n_tokens": 0, "n_pieces": 0, "chars_per_token": None, "chars_per_piece": None, "byte_share": None, "entropy": None, "script": script(whole),
+            "n_repeat_words": repeated(rows), "n_tokens": 0, "chars_per_token": None, "byte_share": None, "entropy": None, "script": script(whole),
         }
-        tokens, ids = self.bpe.ids(whole), np.array(self.sp.encode_as_ids(whole), np.int64)
-        if len(tokens) and len(ids):
-            out |= {
-                "n_tokens": len(tokens), "n_pieces": len(ids), "chars_per_token": len(whole) / len(tokens), "chars_per_piece": len(whole) / len(ids),
-                "byte_share": float(self.is_byte[ids].mean()), "entropy": entropy(tokens),
-            }
+        ids = np.array(self.sp.encode_as_ids(whole), np.int64)
+        if len(ids):
+            out |= {"n_tokens": len(ids), "chars_per_token": len(whole) / len(ids), "byte_share": float(self.is_byte[ids].mean()), "entropy": entropy(ids)}
         return out
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_pieces long, chars_per_token double, chars_per_piece double, byte_share double, entropy double, script string"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-_KINDS = [pa.int64()] * 7 + [pa.float64()] * 4 + [pa.string()]
+_KINDS = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
 
 
-def _measure(batches: Iterator[pa.RecordBatch], bpe: str, piece: str, carried: str | None) -> Iterator[pa.RecordBatch]:
-    meter = Meter(bpe, piece)
+def _measure(batches: Iterator[pa.RecordBatch], vocabulary: str, carried: str | None) -> Iterator[pa.RecordBatch]:
+    meter = Meter(vocabulary)
     for batch in in_slices(with_text(batches, carried)):
         found = [meter.measure(t) for t in texts(batch.column("text"))]
         rest = [n for n in batch.schema.names if n != "text"]
@@ -135,13 +131,8 @@ def _measure(batches: Iterator[pa.RecordBatch], bpe: str, piece: str, carried: s
 def _levelled(curve: str = "curve", median: str = "middle") -> dict:
     """The figures as the bands see them, from columns with the group's parabola and medians."""
     x, c, m = F.log2(F.col("n_tokens")), F.col(curve), F.col(median)
-
-    def root(n: str):
-        return F.when(m[2] > 0, F.sqrt(n)).otherwise(MIXED)
-
     return {
-        "chars_per_token": (F.col("chars_per_token") - m[0]) * root("n_tokens"),
-        "chars_per_piece": (F.col("chars_per_piece") - m[1]) * root("n_pieces"),
+        "chars_per_token": (F.col("chars_per_token") - m[0]) * F.when(m[1] > 0, F.sqrt("n_tokens")).otherwise(MIXED),
         "byte_share": F.col("byte_share"),
         "entropy": F.col("entropy") - (c[0] + c[1] * x + c[2] * x * x),
     }
@@ -158,19 +149,19 @@ def fit(found: DataFrame, least: int = LEAST, reach: dict = REACH) -> DataFrame:
     no more than 3 * SPREAD rows, which the driver gathers.
     """
     spark = found.sparkSession
-    figures = ["n_tokens", "n_pieces", *REACH]
+    figures = ["n_tokens", *REACH]
     good = found.where(~F.col("base_failed") & (F.col("n_tokens") > 0)).groupBy("lang", "script", "digest").agg(*[F.first(c).alias(c) for c in figures])
     groups = F.array(F.concat(F.lit("l:"), "lang"), F.concat(F.lit("s:"), "script"), F.lit("*"))
     each = good.select(F.explode(groups).alias("group"), *figures).where("group is not null")
     x, y = F.log2(F.col("n_tokens")), F.col("entropy")
     sums = [F.sum(x**k).alias(f"x{k}") for k in range(5)] + [F.sum(y * x**k).alias(f"y{k}") for k in range(3)]
-    medians = F.array(F.percentile_approx("chars_per_token", 0.5), F.percentile_approx("chars_per_piece", 0.5)).alias("middle")
+    medians = F.percentile_approx("chars_per_token", 0.5).alias("middle")
     total = good.count()
     first = each.groupBy("group").agg(F.count("*").alias("n"), medians, *sums).where(F.col("n") >= max(least, total // SPREAD)).collect()
     fitted = []
     for r in first:
         a = np.array([[r[f"x{i + j}"] for j in range(3)] for i in range(3)]) + 1e-6 * np.eye(3)
-        fitted.append((r["group"], np.linalg.lstsq(a, np.array([r[f"y{k}"] for k in range(3)]), rcond=None)[0].tolist(), [*r["middle"], float(r["group"].startswith("l:"))]))
+        fitted.append((r["group"], np.linalg.lstsq(a, np.array([r[f"y{k}"] for k in range(3)]), rcond=None)[0].tolist(), [r["middle"], float(r["group"].startswith("l:"))]))
     known = spark.createDataFrame(fitted, "group string, curve array<double>, middle array<double>")
     quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(n) for n, c in _levelled().items()]
     ranges = {r["group"]: r for r in each.join(F.broadcast(known), "group").groupBy("group").agg(*quartiles).collect()}
@@ -179,13 +170,13 @@ def fit(found: DataFrame, least: int = LEAST, reach: dict = REACH) -> DataFrame:
         bands = []
         for name, (low, high) in reach.items():
             a, b, c = ranges[group][name]
-            wide = max(c - a, NARROW[name]) * (1.0 if middle[2] else WIDER) * (1 + 3 / sizes[group] ** 0.5)
+            wide = max(c - a, NARROW[name]) * (1.0 if middle[1] else WIDER) * (1 + 3 / sizes[group] ** 0.5)
             bands.append([float("-inf") if low is None else b - low * wide, float("inf") if high is None else b + high * wide])
         rows.append((group, curve, middle, bands))
     return spark.createDataFrame(rows, _GROUP)
 
 
-def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, bpe: str = "byte_bpe_50k.json", piece: str = "piece_bpe_32k.model", carry: bool = False, least: int = LEAST, reach: dict = REACH) -> DataFrame:
+def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, vocabulary: str = "piece_bpe_32k.model", carry: bool = False, least: int = LEAST, reach: dict = REACH) -> DataFrame:
     """One row per document: base counts, fertility, base_failed, kept, and outside, the figures that lie outside their bands.
 
     With ``carry`` the whole input row comes along as struct ``row``.  A null
@@ -200,7 +191,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.xxhash64(text_col).alias("digest"), F.struct("*").alias("row") if carry else F.col(text_col).alias("text"))
     kept = ", ".join(f"{n} {k}" for n, k in rows.dtypes if n != "text")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = cut(rows.mapInArrow(partial(_measure, bpe=bpe, piece=piece, carried=text_col if carry else None), f"{kept}, {SCHEMA}").withColumn("base_failed", base))
+    found = cut(rows.mapInArrow(partial(_measure, vocabulary=vocabulary, carried=text_col if carry else None), f"{kept}, {SCHEMA}").withColumn("base_failed", base))
     bands = fit(found, least, reach)
 
     def by(prefix: str) -> DataFrame:

@@ -1,23 +1,32 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A 64-bit fingerprint is read as two blocks of 31 bits (bits 62 and 63 take part
-only in the final comparison).  Two fingerprints at distance 3 or less differ in
-at most one bit of some block.  The anchors of a block are the 2**26 words of
-the perfect [31, 26] Hamming code, whose covering radius is 1: each fingerprint
-is replicated to every anchor within radius + threshold = 2, which is its own
-anchor and 15 more.  If x and y differ in one bit of a block, x's own anchor is
-within 2 of y, so they meet there.  Equal fingerprints are merged beforehand.
+A 64-bit fingerprint is read as two blocks of 31 bits (the last two bits take
+part only in the final comparison).  The anchors of a block are the 2**26 words
+of the perfect [31, 26] Hamming code, whose covering radius is 1: each word is
+replicated to every anchor within a distance of 2, which is its own anchor and
+15 more.  If x and y differ in one bit of a block, x's own anchor is within 2 of
+y.  If they differ in two, one of the pairs of flips that lead from x to an
+anchor holds one of the two bits, so they meet there as well.  Hence two
+fingerprints at distance 5 or less meet: of their two blocks one differs in two
+bits at most.
+
+A larger threshold, such as that of a Jaccard similarity of 0.8, takes further
+readings of the fingerprint, each a fixed permutation of its bits; a pair beyond
+distance 5 is found if it meets in any of them (``readings`` in
+``near_duplicates`` has the chances).  Equal fingerprints are merged beforehand.
 
 Within an anchor all fingerprints are compared and only a spanning forest of
 the links leaves the task, so a group of n near copies makes at most n - 1 rows.
-An anchor with more than ``limit`` fingerprints is not compared in one task: it
-is keyed again by the eight-bit parts of the bits outside the block (of which
-one must be equal), and what is still too large is dealt into pairs of chunks.
+An anchor with more than ``limit`` fingerprints is not compared in one task: for
+thresholds up to 3 it is keyed again by the eight-bit parts of the bits outside
+the block (of which one must be equal), and what is still too large is dealt
+into pairs of chunks.  The hottest anchors are not even shuffled to one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -26,13 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LIGHT, components, cut, in_slices, meet, texts
+from .common import SPREAD, components, cut, in_slices, meet, texts
 
 #: Fingerprints of one anchor that a task compares in memory.
 LIMIT = 2048
 THRESHOLD = 3
 LOW31 = (1 << 31) - 1
 _PARITY = [sum(1 << (p - 1) for p in range(1, 32) if p >> b & 1) for b in range(5)]
+#: Distance up to which two readings of 31 bits leave one with two differing bits at most.
+COVERED = 5
 #: For each syndrome the 15 pairs of positions whose flips lead to an anchor at distance 2.
 _PAIRS = np.zeros((32, 15), dtype=np.uint64)
 for _s in range(1, 32):
@@ -60,17 +71,33 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches):
-        fp = np.array([fingerprint(t) for t in texts(batch.column("text"))], dtype=np.uint64).view(np.int64)
+        fp = np.array([fingerprint(t, shingle) for t in texts(batch.column("text"))], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp)], ["id", "fp"])
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor keys and fingerprints, each fingerprint at all its anchors of both blocks."""
+def threshold_of(similarity: float) -> int:
+    """Bits in which two sets of that Jaccard similarity differ on average, rounded: their fingerprints' angle times 64."""
+    return round(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def reading(fp: np.ndarray, number: int) -> np.ndarray:
+    """The bits of each fingerprint in the order of a reading; the first is as they are."""
+    bits = fp.view(np.uint64)
+    if number == 0:
+        return bits
+    out = np.zeros(len(fp), np.uint64)
+    for to, at in enumerate(np.random.default_rng(number).permutation(64).tolist()):
+        out |= (bits >> np.uint64(at) & np.uint64(1)) << np.uint64(to)
+    return out
+
+
+def anchors(fp: np.ndarray, readings: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor keys and fingerprints, each fingerprint at all its anchors of both blocks of each reading."""
     keys, who = [], []
-    for block in (0, 1):
-        word = (fp.view(np.uint64) >> np.uint64(31 * block)) & np.uint64(LOW31)
+    for block in range(2 * readings):
+        word = (reading(fp, block // 2) >> np.uint64(31 * (block % 2))) & np.uint64(LOW31)
         syndrome = np.zeros(len(fp), np.int64)
         for b, mask in enumerate(_PARITY):
             syndrome |= (np.bitwise_count(word & np.uint64(mask)).astype(np.int64) & 1) << b
@@ -82,11 +109,11 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys).view(np.int64), np.concatenate(who)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _replicate(batches: Iterator[pa.RecordBatch], readings: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column("fp").to_numpy(zero_copy_only=False)
         for at in range(0, len(fp), 20_000):
-            key, who = anchors(fp[at : at + 20_000])
+            key, who = anchors(fp[at : at + 20_000], readings)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who)], ["key", "fp"])
 
 
@@ -170,23 +197,42 @@ def _compare(batches: Iterator[pa.RecordBatch], limit: int, threshold: int) -> I
         yield solve(rest_key, rest_fp)
 
 
+def _hot(batches: Iterator[pa.RecordBatch], readings: int) -> Iterator[pa.RecordBatch]:
+    """Anchors with one in 2 * SPREAD of the rows of a slice, and how many they have there.
+
+    What an anchor with one in SPREAD of all rows has outside of these slices is
+    less than half of that; so the rest is found here.
+    """
+    for batch in batches:
+        fp = batch.column("fp").to_numpy(zero_copy_only=False)
+        for at in range(0, len(fp), 20_000):
+            key, n = np.unique(anchors(fp[at : at + 20_000], readings)[0], return_counts=True)
+            some = n >= max(2, n.sum() // (2 * SPREAD))
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some], pa.int64())], ["key", "n"])
+
+
 def _met(keyed: DataFrame, limit: int, threshold: int) -> DataFrame:
     met = keyed.repartition("key").sortWithinPartitions("key")
     return cut(met.mapInArrow(partial(_compare, limit=limit, threshold=threshold), "key long, a long, b long"))
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD, limit: int = LIMIT) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs at ``threshold`` or less.
+def links(fps: DataFrame, threshold: int = THRESHOLD, limit: int = LIMIT, readings: int = 1) -> DataFrame:
+    """Edges (a, b) whose components are those of the pairs at ``threshold`` or less that meet.
 
     fps: distinct fingerprints in a long column ``fp``.
     """
-    if not 0 <= threshold <= 3:
-        raise ValueError("two blocks with a covering radius of 1 serve thresholds up to 3")
-    met = _met(fps.select("fp").mapInArrow(_replicate, "key long, fp long"), limit, threshold)
+    keyed = fps.select("fp").mapInArrow(partial(_replicate, readings=readings), "key long, fp long")
+    # no more than 2 * SPREAD anchors can hold one in 2 * SPREAD of all rows: these are broadcast, their rows stay
+    most = max(limit, 32 * readings * fps.count() // (2 * SPREAD))
+    seen = fps.select("fp").mapInArrow(partial(_hot, readings=readings), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    hot = F.broadcast(cut(seen.where(F.col("n") > most).select("key")))
+    met = _met(keyed.join(hot, "key", "left_anti"), limit, threshold)
     found = met.where("key is null").select("a", "b")
-    over = met.where("key is not null").select("key", F.col("a").alias("fp"))
+    over = met.where("key is not null").select("key", F.col("a").alias("fp")).unionByName(keyed.join(hot, "key").select("key", "fp"))
     if over.isEmpty():
         return found
+    if threshold > THRESHOLD or readings > 1:
+        return found.unionByName(_dealt(over, limit, threshold))
     # The 33 bits outside the block, in four parts of which one is equal in every pair.
     other = F.expr("if((shiftright(key, 31) & 1L) = 0, shiftrightunsigned(fp, 31), (fp & 2147483647L) | shiftleft(shiftrightunsigned(fp, 62), 31))")
     parts = F.array(*[F.expr(f"named_struct('p', {p}, 'v', shiftrightunsigned(o, {8 * p}) & {511 if p == 3 else 255}L)") for p in range(4)])
@@ -196,35 +242,47 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, limit: int = LIMIT) -> Dat
     over = met.where("key is not null").select("key", F.col("a").alias("fp"))
     if over.isEmpty():
         return found
-    chunks = over.groupBy("key").count().select("key", F.ceil(2 * F.col("count") / limit).cast("int").alias("m"))
-    dealt = over.join(chunks, "key").withColumn("c", F.pmod(F.xxhash64("fp"), "m"))
+    return found.unionByName(_dealt(over, limit, threshold))
+
+
+def _dealt(over: DataFrame, limit: int, threshold: int) -> DataFrame:
+    """Edges within keys of any size: dealt into chunks, of which every two meet in a task."""
+    counts = over.groupBy("key").count().select("key", F.col("count").alias("n"), F.ceil(2 * F.col("count") / limit).cast("int").alias("m"))
+    dealt = meet(over, counts, "key", over.count()).withColumn("c", F.pmod(F.xxhash64("fp"), "m"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
     keyed = dealt.select("key", "fp", F.explode(pairs).alias("x")).select(F.xxhash64("key", "x.i", "x.j").alias("key"), "fp").distinct()
-    met = _met(keyed, 1 << 30, threshold)  # two chunks of limit / 2 each, on average
-    return found.unionByName(met.select("a", "b"))
+    return _met(keyed, 1 << 30, threshold).select("a", "b")  # two chunks of limit / 2 each, on average
 
 
-def named(rows: DataFrame, link: Callable[[DataFrame], DataFrame], id_col: str, light: int = LIGHT) -> DataFrame:
-    """For each row of (id, fp) its fingerprint and the smallest id of its component under the links of the distinct fingerprints."""
-    fps = rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    joined = components(link(fps), light=light)
+def named(rows: DataFrame, edges: DataFrame, fps: DataFrame, id_col: str) -> DataFrame:
+    """For each row of (id, fp) its fingerprint and the smallest id of its component under links of distinct fingerprints."""
+    joined = components(edges)
     best = joined.join(fps, joined.node == fps.fp).groupBy("label").agg(F.min("low").alias("best"), F.count("*").alias("n"))
-    linked = meet(joined, best, "label", joined.count(), light).select(F.col("node").alias("fp"), "best")
-    names, total = fps.join(linked, "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id"), "n"), rows.count()
-    if total > light:  # ``meet`` reads it more than once
-        names = cut(names)
-    return meet(rows, names, "fp", total, light).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = meet(joined, best, "label", joined.count()).select(F.col("node").alias("fp"), "best")
+    names = cut(fps.join(linked, "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id"), "n"))
+    return meet(rows, names, "fp", rows.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, limit: int = LIMIT, light: int = LIGHT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, threshold: int | None = None, readings: int | None = None, limit: int = LIMIT) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits) and component_id.
 
-    component_id is the smallest id reachable by links at ``threshold`` or less.
+    component_id is the smallest id reachable by links: fingerprints of
+    ``shingle``-word shingles that differ in ``threshold`` bits or less, by
+    default as many as sets of the Jaccard ``similarity`` differ in on average
+    (10 for 0.8).  Up to 5 bits no link is lost.  Beyond, a pair is found if it
+    meets in one of the ``readings``, which are five by default: with a
+    chance of 0.99 at 6 and 7 bits, 0.96 at 8, 0.87 at 9 and 0.75 at 10.
+
     A null or wordless text has fingerprint zero and is linked like any other; a
     null id is returned with its component, and is never a component_id unless
-    all ids of the component are null.  Repeated rows are returned as often as
-    they come; other columns are not looked at; an empty table gives no row.
-    The rows of a hot fingerprint, and the nodes of a hot component, are spread.
+    all ids of the component are null.  Ids may be of any type that has an
+    order.  Repeated rows are returned as often as they come; other columns are
+    not looked at; an empty table gives no row.  The rows of a hot fingerprint,
+    and the nodes of a hot component, are spread.
     """
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long"))
-    return named(rows, lambda fps: links(fps, threshold, limit), id_col, light)
+    threshold = threshold_of(similarity) if threshold is None else threshold
+    readings = (1 if threshold <= COVERED else 5) if readings is None else readings
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = cut(rows.mapInArrow(partial(_fingerprints, shingle=shingle), f"id {dict(rows.dtypes)['id']}, fp long"))
+    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
+    return named(rows, links(fps, threshold, limit, readings), fps, id_col)
