@@ -12,25 +12,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontaminate, near_copies, packing, quality, secrets
-from lamella.llm.common import shared_dir, table
+from lamella.llm import decontaminate, packing, quality, secrets, simhash
+from lamella.llm.common import drop_folder, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the bands of tokeniser fertility."""
-    return quality.rules(docs, carry=True).where("kept").select("row.*")
+    return quality.rules(docs, lang_col="lang", carry=True).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id.
+    """Of each group of near copies (five-word shingles, similarity 0.8) the row with the smallest id.
 
-    One row stays even where rows repeat an id.  A document without an id can't
-    be named as anyone's copy, and stays.
+    Rows are told apart by id and content, so that rows which share an id, or
+    have none, are copies only if their texts are; a row with an id goes before
+    one without, and of equal rows one stays.
     """
-    groups = near_copies.near_copies(docs.where("doc_id is not null"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), F.xxhash64(*docs.columns).alias("h"))
+    rows = docs.withColumn("_row", key)
+    groups = simhash.near_duplicates(rows, "_row", shingle=5, similarity=0.8)
+    first = groups.where("_row = component_id").select("_row").distinct()
+    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("secret scans", secret_scan),
     ("best-fit packing", best_fit_packing),
@@ -63,10 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, in order, over the table ``documents``."""
+    """All stages, in order, over the table ``documents``.  Each stage's folder goes once the next is written; the last holds the result."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            drop_folder(spark, f"{folder}/{number - 1}")
     return docs
