@@ -3,25 +3,35 @@
 Calls and results meet in a hash join on (conversation, call id).  Arguments are
 JSON; each is checked against the schema of its tool and written in canonical
 form (RFC 8785: sorted keys, no blanks, shortest numbers).  A call may refer to
-others by ``{"$ref": id}``; the order key of a call is the latest turn among
-itself and what it refers to, and its depth at that turn, so that sorting by it
-puts every call after its references.  Only references that point forward cost
-a round of relaxation; a call on a cycle is reported and keeps its own turn.
+others by ``{"$ref": id}``.  Its order key is the latest turn among itself and
+all that it refers to, directly or not, and its depth at that turn, so that
+sorting by it puts every call after its references; a call that leads to a
+cycle can't be ordered and keeps its own turn.
+
+The calls of a conversation are ordered in one task by Kahn's algorithm, on ids,
+turns and references alone.  A conversation of more than ``GROUP`` calls is too
+large for a task: its calls are settled in rounds over the whole table.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Calls of one conversation that a task holds, some 500 bytes each.
+GROUP = 250_000
+#: Keywords of a schema that are checked, and those that say nothing about a value.
+KEYWORDS = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minimum", "maximum", "minLength", "maxLength"}
+REMARKS = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
 _TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
@@ -53,7 +63,7 @@ def canonical(value) -> str:
 
 
 def errors(value, schema: dict, path: str = "$") -> list[str]:
-    """What a value violates of type, enum, required, properties, additionalProperties and items."""
+    """What a value violates of ``KEYWORDS``; a keyword that is not known is a violation of its own."""
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
 
@@ -64,7 +74,15 @@ def errors(value, schema: dict, path: str = "$") -> list[str]:
 
     if kinds and not any(map(fits, kinds)):
         return [f"{path}: not {'|'.join(kinds)}"]
-    out = [f"{path}: not in enum"] if "enum" in schema and value not in schema["enum"] else []
+    out = [f"{path}: keyword {k} is not supported" for k in sorted(schema.keys() - KEYWORDS - REMARKS)]
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        out.append(f"{path}: not const")
+    number_ = isinstance(value, (int, float)) and not isinstance(value, bool)
+    size = value if number_ else len(value) if isinstance(value, str) else None
+    low, high = ("minimum", "maximum") if number_ else ("minLength", "maxLength")
+    if size is not None:
+        out += [f"{path}: below {low}"] * (low in schema and size < schema[low]) + [f"{path}: above {high}"] * (high in schema and size > schema[high])
+    out += [f"{path}: not in enum"] if "enum" in schema and value not in schema["enum"] else []
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
@@ -109,82 +127,184 @@ def _check(batches: Iterator[pa.RecordBatch], schemas: dict) -> Iterator[pa.Reco
 
 def _json(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols = [batch.column(n).to_pylist() for n in ("call_id", "name", "canonical", "result")]
-        lines = [f'{{"arguments":{a or "null"},"id":{canonical(i)},"name":{canonical(n)},"result":{canonical(r)}}}' for i, n, a, r in zip(*cols)]
-        rest = [n for n in batch.schema.names if n not in ("canonical", "result", "name")]
+        cols = [batch.column(n).to_pylist() for n in ("status", "call_id", "name", "canonical", "content")]
+        lines = []
+        for status, i, n, a, c in zip(*cols):
+            if status == "message":
+                lines.append(f'{{"content":{canonical(c)},"role":{canonical(n)}}}')
+            elif status == "orphan":
+                lines.append(f'{{"id":{canonical(i)},"result":{canonical(c)}}}')
+            else:
+                lines.append(f'{{"arguments":{a or "null"},"id":{canonical(i)},"name":{canonical(n)},"result":{canonical(c)}}}')
+        rest = [n for n in batch.schema.names if n not in ("canonical", "content", "name")]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(lines, pa.string())], [*rest, "json"])
 
 
-def order(calls: DataFrame) -> DataFrame:
-    """conv, call_id, order_turn, order_depth, cyclic for a table conv, call_id, turn, refs."""
-    nodes = calls.groupBy("conv", "call_id").agg(F.min("turn").alias("turn"))
+def settle(calls: list[tuple]) -> dict:
+    """call id to (order_turn, order_depth), or None if it leads to a cycle; calls: (call id, turn, references)."""
+    turn, refs, users, state = {}, defaultdict(set), defaultdict(list), {}
+    for c, t, r in calls:
+        turn[c] = t if c not in turn else min(turn[c], t, key=lambda x: (x is not None, x))
+        refs[c].update(r or ())
+    open_ = {}
+    for c in turn:
+        known = [r for r in refs[c] if r in turn]
+        open_[c] = len(known)
+        for r in known:
+            users[r].append(c)
+    ready = [c for c in turn if not open_[c]]
+    low = lambda k: (k[0] is not None, *k)
+    while ready:
+        c = ready.pop()
+        best = (turn[c], 0)
+        for r in refs[c]:
+            if r in turn:
+                k, d = state[r]
+                best = max(best, (k, d + 1), key=low)
+        state[c] = best
+        for u in users[c]:
+            open_[u] -= 1
+            if not open_[u]:
+                ready.append(u)
+    return {c: state.get(c) for c in turn}
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by conversation in; one row per conversation and call id out."""
+    held, rows = None, []
+
+    def out():
+        found = settle([(c, t, r) for c, t, r in rows])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([held[0]] * len(found), kinds[0]), pa.array(list(found), pa.string()), pa.array([f and f[0] for f in found.values()], kinds[1]), pa.array([f and f[1] for f in found.values()], pa.int64()), pa.array([f is None for f in found.values()])],
+            ["conv", "call_id", "k", "d", "cyclic"],
+        )
+
+    for batch in batches:
+        kinds = [batch.column("conv").type, batch.column("turn").type]
+        for conv, *row in zip(*(batch.column(n).to_pylist() for n in ("conv", "call_id", "turn", "refs"))):
+            if held is not None and conv != held[0]:
+                yield out()
+                rows = []
+            held = (conv,)
+            rows.append(row)
+    if rows:
+        yield out()
+
+
+def order(calls: DataFrame, group: int = GROUP) -> DataFrame:
+    """conv, call_id, order_turn, order_depth, cyclic for a table conv, call_id, turn, refs without null ids."""
+    kinds = dict(calls.dtypes)
+    shape = f"conv {kinds['conv']}, call_id string, k {kinds['turn']}, d long, cyclic boolean"
+    counts = calls.groupBy("conv").agg(F.count("*").alias("n"))
+    large = cut(counts.where(F.col("n") > group).select(F.col("conv").alias("large")))
+    # few conversations are that large; Spark broadcasts them if they are few indeed
+    small = calls.join(large, F.col("conv").eqNullSafe(F.col("large")), "left_anti")
+    settled = small.repartition("conv").sortWithinPartitions("conv").mapInArrow(_settle, shape)
+    if not large.isEmpty():
+        settled = settled.unionByName(_rounds(calls.join(large, F.col("conv").eqNullSafe(F.col("large")), "left_semi")))
+    turns = calls.groupBy("conv", "call_id").agg(F.min("turn").alias("turn"))
+    found = turns.join(settled.withColumnsRenamed({"conv": "c", "call_id": "i"}), F.col("conv").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")))
+    return found.select("conv", "call_id", F.when(F.col("cyclic"), F.col("turn")).otherwise(F.col("k")).alias("order_turn"), F.coalesce("d", F.lit(0).cast("long")).alias("order_depth"), "cyclic")
+
+
+def _rounds(calls: DataFrame) -> DataFrame:
+    """As ``settle``: in each round the calls are settled whose references all are."""
+    nodes = cut(calls.groupBy("conv", "call_id").agg(F.min("turn").alias("turn")))
     edges = calls.select("conv", "call_id", F.explode("refs").alias("ref")).distinct()
-    ahead = nodes.select("conv", F.col("call_id").alias("ref"), F.col("turn").alias("ref_turn"))
-    known = edges.join(ahead, ["conv", "ref"]).join(nodes, ["conv", "call_id"])
-    back = known.where("ref_turn >= turn").select("conv", "call_id", "ref")
-    start = nodes.select("conv", "call_id", "turn", F.col("turn").alias("k"), F.lit(0).cast("long").alias("d"))
-    if back.isEmpty():
-        return start.select("conv", "call_id", F.col("k").alias("order_turn"), F.col("d").alias("order_depth"), F.lit(False).alias("cyclic"))
-    # a later turn can push on what refers to it, so all edges of such conversations count
-    known, state = cut(known.select("conv", "call_id", "ref").join(back.select("conv").distinct(), "conv", "left_semi")), cut(start)
-    most = known.groupBy("conv").agg(F.countDistinct("call_id").alias("most"))
+    edges = cut(edges.join(nodes.select("conv", F.col("call_id").alias("ref")), ["conv", "ref"]))
+    wanted = edges.groupBy("conv", "call_id").agg(F.count("*").alias("wanted"))
+    left = cut(nodes.join(wanted, ["conv", "call_id"], "left"))
+    done = cut(left.where("wanted is null").select("conv", "call_id", F.col("turn").alias("k"), F.lit(0).cast("long").alias("d")))
+    left = left.where("wanted is not null")
     while True:
-        via = known.join(state.select("conv", F.col("call_id").alias("ref"), "k", "d"), ["conv", "ref"])
-        best = via.groupBy("conv", "call_id").agg(F.max(F.struct("k", (F.col("d") + 1).alias("d"))).alias("b")).join(most, "conv")
-        moved = state.join(best, ["conv", "call_id"], "left")
-        # no path without a cycle has more steps than the conversation has calls
-        better = F.col("b").isNotNull() & (F.struct("k", "d") < F.col("b")) & (F.col("d") <= F.col("most"))
-        new = cut(moved.select("conv", "call_id", "turn", F.when(better, F.col("b.k")).otherwise(F.col("k")).alias("k"), F.when(better, F.col("b.d")).otherwise(F.col("d")).alias("d"), F.coalesce(better, F.lit(False)).alias("moved")))
-        if new.where("moved").isEmpty():
+        via = edges.join(done.select("conv", F.col("call_id").alias("ref"), "k", "d"), ["conv", "ref"])
+        best = via.groupBy("conv", "call_id").agg(F.count("*").alias("have"), F.max(F.struct("k", (F.col("d") + 1).alias("d"))).alias("b"))
+        now = left.join(best, ["conv", "call_id"]).where("have = wanted").select("conv", "call_id", F.greatest(F.struct(F.col("turn").alias("k"), F.lit(0).cast("long").alias("d")), "b").alias("b"))
+        now = cut(now.select("conv", "call_id", "b.k", "b.d"))
+        if now.isEmpty():
             break
-        state = new.drop("moved")
-    cyclic = F.coalesce(F.col("d") > F.col("most"), F.lit(False))
-    ended = state.join(most, "conv", "left")
-    return ended.select("conv", "call_id", F.when(cyclic, F.col("turn")).otherwise(F.col("k")).alias("order_turn"), F.when(cyclic, 0).otherwise(F.col("d")).alias("order_depth"), cyclic.alias("cyclic"))
+        left = cut(left.join(now.select("conv", "call_id"), ["conv", "call_id"], "left_anti"))
+        done = cut(done.unionByName(now))
+    return done.withColumn("cyclic", F.lit(False)).unionByName(left.select("conv", "call_id", F.lit(None).cast(dict(left.dtypes)["turn"]).alias("k"), F.lit(None).cast("long").alias("d"), F.lit(True).alias("cyclic")))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
-    """One row per call: conv, turn, call_id, status, n_results, result_turn, errors, order, json.
+def link(calls: DataFrame, results: DataFrame, schemas: dict, others: DataFrame | None = None, group: int = GROUP) -> DataFrame:
+    """Rows conv, turn, call_id, status, n_results, result_no, result_turn, errors, order_turn, order_depth, cyclic, json.
 
     calls: conv, turn, call_id, name, arguments (JSON text; null means none);
-    results: conv, turn, call_id, content.  A call takes its first result (by
-    turn, then content); status is ``linked``, ``unanswered`` or ``duplicate``
-    (an earlier call has the id; equal rows are all duplicates but none of them
-    is lost).  Results without a call are in ``orphans``.  A null id links to
-    nothing.  Arguments that are no JSON object become null with an error; a
-    tool without schema is an error; empty tables give no row.
+    results: conv, turn, call_id, content; others: conv, turn, role, content.
+
+    A call has one row for each of its results (numbered by turn, then content),
+    or one without; status is ``linked``, ``unanswered`` or ``duplicate`` (an
+    earlier call, by turn, name and arguments, has the id; it takes no result).
+    A result whose call does not exist is a row ``orphan``, each of the others a
+    row ``message``.  A null id or conversation links to nothing.  Arguments that are no JSON
+    object become null with an error; a tool without schema is an error; a
+    reference to no call is left out of the order.  Repeated rows are kept;
+    empty tables give no row.
     """
-    answered = results.where("call_id is not null").groupBy("conv", "call_id").agg(F.count("*").alias("n_results"), F.min(F.struct("turn", "content")).alias("r"))
     rows = calls.select("conv", "turn", "call_id", "name", "arguments")
     kinds = dict(rows.dtypes)
     head = f"conv {kinds['conv']}, turn {kinds['turn']}, call_id string"
-    # mostly read twice: for the order and for the rows
-    checked = rows.mapInArrow(partial(_check, schemas=schemas), f"{head}, name string, canonical string, refs array<string>, errors array<string>")
-    first = checked.where("call_id is not null").groupBy("conv", "call_id").agg(F.min("turn").alias("first"), F.sum(F.lit(1)).alias("same"))
-    linked = checked.drop("refs").join(answered, ["conv", "call_id"], "left").join(first, ["conv", "call_id"], "left").join(order(checked.where("call_id is not null")), ["conv", "call_id"], "left")
-    status = F.when((F.col("same") > 1) & (F.col("turn") > F.col("first")), "duplicate").when(F.col("n_results") > 0, "linked").otherwise("unanswered")
+    checked = cut(rows.mapInArrow(partial(_check, schemas=schemas), f"{head}, name string, canonical string, refs array<string>, errors array<string>"))
+    ordered = order(checked.where("call_id is not null").select("conv", "call_id", "turn", "refs"), group)
+    same = Window.partitionBy("conv", "call_id")
+    place = F.when(F.col("call_id").isNotNull(), F.row_number().over(same.orderBy("turn", "name", "canonical"))).otherwise(1)
+    placed = checked.withColumn("place", place).join(ordered.withColumnsRenamed({"conv": "c", "call_id": "i"}), F.col("conv").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "left").drop("c", "i")
+    numbered = results.select(F.col("conv").alias("c"), F.col("call_id").alias("i"), F.col("turn").alias("result_turn"), "content")
+    each = Window.partitionBy("c", "i")
+    numbered = numbered.withColumn("result_no", F.row_number().over(each.orderBy("result_turn", "content")).cast("long")).withColumn("n_results", F.count("*").over(each))
+    meets = (F.col("conv") == F.col("c")) & (F.col("call_id") == F.col("i"))
+    # the first call of an id alone takes results, so that a result has one row
+    linked = placed.where("place = 1").join(numbered, meets, "left").unionByName(placed.where("place > 1"), allowMissingColumns=True)
+    status = F.when(F.col("place") > 1, "duplicate").when(F.col("result_no").isNotNull(), "linked").otherwise("unanswered")
     ready = linked.select(
-        "conv", "turn", "call_id", "name", "canonical", status.alias("status"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"),
+        "conv", "turn", "call_id", "name", "canonical", "content", status.alias("status"), F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), "result_no", "result_turn",
         F.array_join("errors", "; ").alias("errors"), F.coalesce("order_turn", "turn").alias("order_turn"), F.coalesce("order_depth", F.lit(0).cast("long")).alias("order_depth"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
     )
-    return ready.mapInArrow(_json, f"{head}, status string, n_results long, result_turn {kinds['turn']}, errors string, order_turn {kinds['turn']}, order_depth long, cyclic boolean, json string")
+    own = {"status": F.lit("orphan"), "name": F.lit(None).cast("string"), "canonical": F.lit(None).cast("string"), "n_results": F.lit(0).cast("long"), "result_no": F.lit(None).cast("long"), "errors": F.lit(""), "order_turn": F.col("turn"), "order_depth": F.lit(0).cast("long"), "cyclic": F.lit(False)}
+    lone = orphans(calls, results).withColumn("result_turn", F.col("turn"))
+    ready = ready.unionByName(lone.withColumns(own).select(ready.columns))
+    if others is not None:
+        own |= {"status": F.lit("message"), "name": F.col("role"), "call_id": F.lit(None).cast("string"), "result_turn": F.lit(None).cast(kinds["turn"])}
+        ready = ready.unionByName(others.withColumns(own).select(ready.columns))
+    return ready.mapInArrow(_json, f"{head}, status string, n_results long, result_no long, result_turn {kinds['turn']}, errors string, order_turn {kinds['turn']}, order_depth long, cyclic boolean, json string")
 
 
 def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Results whose call does not exist."""
-    return results.join(calls.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
+    ids = calls.where("call_id is not null").select(F.col("conv").alias("c"), F.col("call_id").alias("i"))
+    return results.join(ids, (F.col("conv") == F.col("c")) & (F.col("call_id") == F.col("i")), "left_anti")
 
 
-def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A plain conversation as calls and results: each user turn asks the tool ``reply``,
-    referring to the exchange before it, and the assistant's next turn answers."""
-    name = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    earlier = F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 2).cast("string"))
-    arguments = F.struct(F.when(F.col("turn") >= 2, F.struct(earlier.alias("$ref"))).alias("after"), F.col("text").alias("prompt"), F.col("turn").alias("turn"))
-    calls = conversations.where("role = 'user'").select(F.col("conv_id").alias("conv"), "turn", name.alias("call_id"), F.lit("reply").alias("name"), F.to_json(arguments).alias("arguments"))
-    asked = F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
-    results = conversations.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), "turn", asked.alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A plain conversation as calls, results and other messages.
 
-
-REPLY = {"reply": {"type": "object", "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}, "after": {"type": "object", "properties": {"$ref": {"type": "string"}}, "required": ["$ref"]}}, "required": ["prompt", "turn"], "additionalProperties": False}}
+    Each user turn calls a tool and the next assistant turn answers.  A call
+    refers to the exchange before it (``after``).  So that order and checks have
+    work to do, conversations differ by number: in every fourth the first
+    exchange needs the second (a forward reference), in another fourth the second
+    refers back all the same (a cycle); one turn in five is given as text, and
+    late turns of every seventh conversation ask a tool without a schema.
+    """
+    conv, turn = F.col("conv_id"), F.col("turn")
+
+    def named(t):
+        return F.concat_ws("-", conv.cast("string"), t.cast("string"))
+
+    kind = F.pmod(conv, F.lit(4))
+    after = F.when((turn >= 2) & ~((kind == 1) & (turn < 4)), F.struct(named(turn - 2).alias("$ref")))
+    needs = F.when(kind.isin(1, 3) & (turn < 2), F.struct(named(turn + 2).alias("$ref")))
+    as_text = F.pmod(conv + turn, F.lit(5)) == 0
+    texts = F.to_json(F.struct(after.alias("after"), needs.alias("needs"), F.col("text").alias("prompt"), turn.cast("string").alias("turn")))
+    numbers = F.to_json(F.struct(after.alias("after"), needs.alias("needs"), F.col("text").alias("prompt"), turn.alias("turn")))
+    name = F.when((F.pmod(conv, F.lit(7)) == 3) & (turn >= 4), "search").otherwise("reply")
+    calls = conversations.where("role = 'user'").select(conv.alias("conv"), "turn", named(turn).alias("call_id"), name.alias("name"), F.when(as_text, texts).otherwise(numbers).alias("arguments"))
+    results = conversations.where("role = 'assistant'").select(conv.alias("conv"), "turn", named(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    others = conversations.where("role is null or role not in ('user', 'assistant')").select(conv.alias("conv"), "turn", "role", F.col("text").alias("content"))
+    return calls, results, others
+
+
+_REFERENCE = {"type": "object", "properties": {"$ref": {"type": "string"}}, "required": ["$ref"]}
+REPLY = {"reply": {"type": "object", "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}, "after": _REFERENCE, "needs": _REFERENCE}, "required": ["prompt", "turn"], "additionalProperties": False}}

@@ -26,7 +26,8 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chat.link(*chat.exchanges(table(spark, sf_dir, "conversations")), chat.REPLY)
+    calls, results, others = chat.exchanges(table(spark, sf_dir, "conversations"))
+    found = chat.link(calls, results, chat.REPLY, others)
     return found.withColumnRenamed("conv", "conv_id")
 
 
@@ -60,16 +61,33 @@ _WINDOWS = """
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": """
-with calls as (select conv_id, turn, text, conv_id || '-' || turn as call_id from conversations where role = 'user'),
-  results as (select conv_id, turn, text, conv_id || '-' || (turn - 1) as call_id from conversations where role = 'assistant'),
-  answered as (select conv_id, call_id, count(*) as n, min({'t': turn, 'c': text}) as r from results group by all),
-  first as (select conv_id, call_id, min(turn) as first, count(*) as same from calls group by all)
-select conv_id, turn, call_id, case when same > 1 and turn > first then 'duplicate' when n > 0 then 'linked' else 'unanswered' end as status,
-  coalesce(n, 0) as n_results, r.t as result_turn, case when text is null then '$.prompt: missing' else '' end as errors, turn as order_turn, 0::bigint as order_depth, false as cyclic,
-  '{"arguments":{' || case when turn >= 2 then '"after":{"$ref":"' || conv_id || '-' || (turn - 2) || '"},' else '' end
-    || case when text is null then '' else '"prompt":' || to_json(text) || ',' end || '"turn":' || turn || '},"id":"' || call_id || '","name":"reply","result":'
-    || coalesce(to_json(r.c)::varchar, 'null') || '}' as json
-from calls join first using (conv_id, call_id) left join answered using (conv_id, call_id)""",
+with recursive calls as (select conv_id, turn, text, conv_id || '-' || turn as call_id, case when conv_id % 7 = 3 and turn >= 4 then 'search' else 'reply' end as name,
+    case when turn >= 2 and not (conv_id % 4 = 1 and turn < 4) then conv_id || '-' || (turn - 2) end as after,
+    case when conv_id % 4 in (1, 3) and turn < 2 then conv_id || '-' || (turn + 2) end as needs, (conv_id + turn) % 5 = 0 as as_text
+    from conversations where role = 'user'),
+  results as (select conv_id, turn as result_turn, text as content, conv_id || '-' || (turn - 1) as call_id,
+    row_number() over (partition by conv_id, turn order by text nulls first) as result_no, count(*) over (partition by conv_id, turn) as n from conversations where role = 'assistant'),
+  placed as (select *, row_number() over (partition by conv_id, call_id order by turn, name, text nulls first) as place from calls),
+  nodes as (select conv_id, call_id, min(turn) as turn from calls group by all),
+  edges as (select distinct e.* from (select conv_id, call_id, after as ref from calls union all select conv_id, call_id, needs from calls) e join nodes n on n.conv_id = e.conv_id and n.call_id = e.ref),
+  reach as (select * from edges union select r.conv_id, r.call_id, e.ref from reach r join edges e on e.conv_id = r.conv_id and e.call_id = r.ref),
+  cycles as (select distinct r.conv_id, r.call_id from reach r join reach s on s.conv_id = r.conv_id and s.call_id = r.ref and s.ref = r.ref),
+  keys as (select n.conv_id, n.call_id, greatest(n.turn, max(m.turn)) as k from nodes n left join reach r using (conv_id, call_id) left join nodes m on m.conv_id = n.conv_id and m.call_id = r.ref
+    where (n.conv_id, n.call_id) not in (select (conv_id, call_id) from cycles) group by n.conv_id, n.call_id, n.turn),
+  depths as (select conv_id, call_id, k, 0::bigint as d from keys union select e.conv_id, e.call_id, c.k, p.d + 1 from depths p join edges e on e.conv_id = p.conv_id and e.ref = p.call_id join keys c on c.conv_id = e.conv_id and c.call_id = e.call_id and c.k = p.k),
+  ordered as (select conv_id, call_id, k, max(d) as d from depths group by all),
+  linked as (select p.*, result_no, result_turn, content, n from placed p left join results r on r.conv_id = p.conv_id and r.call_id = p.call_id and p.place = 1)
+select conv_id, turn, call_id, case when place > 1 then 'duplicate' when result_no is not null then 'linked' else 'unanswered' end as status, coalesce(n, 0) as n_results, result_no, result_turn,
+  case when name = 'search' then 'search: no schema' else concat_ws('; ', case when text is null then '$.prompt: missing' end, case when as_text then '$.turn: not integer' end) end as errors,
+  coalesce(k, turn) as order_turn, coalesce(d, 0) as order_depth, k is null as cyclic,
+  '{"arguments":{' || case when after is null then '' else '"after":{"$ref":"' || after || '"},' end || case when needs is null then '' else '"needs":{"$ref":"' || needs || '"},' end
+    || case when text is null then '' else '"prompt":' || to_json(text) || ',' end || '"turn":' || case when as_text then '"' || turn || '"' else turn::varchar end || '},"id":"' || call_id
+    || '","name":"' || name || '","result":' || coalesce(to_json(content)::varchar, 'null') || '}' as json
+from linked left join ordered using (conv_id, call_id)
+union all select conv_id, result_turn, call_id, 'orphan', 0, null, result_turn, '', result_turn, 0, false, '{"id":"' || call_id || '","result":' || coalesce(to_json(content)::varchar, 'null') || '}'
+from results where (conv_id, call_id) not in (select (conv_id, call_id) from calls)
+union all select conv_id, turn, null, 'message', 0, null, null, '', turn, 0, false, '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}'
+from conversations where role is null or role not in ('user', 'assistant')""",
     "op6_decontaminate": f"""
 with {_WINDOWS}
   docs as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as words from documents),
