@@ -106,8 +106,8 @@ def meet(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
-def most_frequent(counts: DataFrame, room: int) -> list[tuple[bytes, int]]:
-    """Of (word, n) with one row per word, the ``room`` words of greatest n, or a few less; by falling n, then word.
+def most_frequent(counts: DataFrame, room: int, *more: str) -> list[tuple]:
+    """Of (word, n) with one row per word, the ``room`` words of greatest n, or a few less; by falling n, then word.  more: further columns to return.
 
     Only these reach the driver.  n is cut into steps of a 32nd octave, of which
     there are at most 2,048; the step that does not fit whole is cut by a hash
@@ -129,8 +129,8 @@ def most_frequent(counts: DataFrame, room: int) -> list[tuple[bytes, int]]:
                 break
             room, some = room - r["d"], r["b"] + 1
         keep = keep | ((step == last) & (bucket < some))
-    found = counts.where(keep).select("word", "n").toArrow()
-    return sorted(zip(found["word"].to_pylist(), found["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    found = counts.where(keep).select("word", "n", *more).toArrow()
+    return sorted(zip(*(found[c].to_pylist() for c in ("word", "n", *more))), key=lambda x: (-x[1], x[0]))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
