@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -17,33 +18,33 @@ def brute(tokens, separator):
     return out + ([(len(out), start, len(tokens) - start, False)] if start < len(tokens) else [])
 
 
-@pytest.mark.parametrize(("dtype", "span"), [("<u2", 1024), ("<u4", 2)])
-def test_blocks_are_stitched(spark, monkeypatch, dtype, span):
-    monkeypatch.setattr(ts, "SPAN", span)
+@pytest.mark.parametrize(("dtype", "separator", "step"), [("<u2", 9, 40), ("<u2", 50256, 64), ("<u4", 9, 50), ("<u4", 0x01020309, 33), ("<u2", 0x0909, 16)])
+def test_files_of_any_bytes(spark, tmp_path, dtype, separator, step):
+    """Ranges of a few bytes, tokens whose bytes look like separators across token boundaries, a byte order mark, an unended document, an empty file."""
     rng = random.Random(4)
-    files = {f: [rng.choice([0, 1, 2, 9] if f else [1, 2]) for _ in range(rng.randint(0, 90))] for f in range(6)}
-    files[6], files[7] = [9] * 5, []
-    rows = []
-    for f, tokens in files.items():
-        data = np.array(tokens, dtype).tobytes()
-        step = 7 * np.dtype(dtype).itemsize
-        rows += [(f, k, bytearray(data[k * step : (k + 1) * step])) for k in range(len(data) // step + 1)]
-    rng.shuffle(rows)
-    df = spark.createDataFrame([*rows, (8, 0, None)], "file int, block int, payload binary")
-    got = sorted(tuple(r) for r in ts.scan(df, 9, dtype).collect())
-    assert got == sorted((f, *x) for f, t in files.items() for x in brute(t, 9))
-    assert ts.scan(df.limit(0), 9, dtype).count() == 0
-
-
-def test_flat_files_on_disk(spark, tmp_path):
-    rng = random.Random(5)
-    want = Counter()
-    for name in "ab":
-        tokens = [rng.choice([3, 4, 9]) for _ in range(5000)]
-        (tmp_path / name).write_bytes(np.array(tokens, "<u2").tobytes())
-        want.update(brute(tokens, 9))
-    got = ts.scan(ts.flat_files(spark, str(tmp_path), block_bytes=64), 9)
-    assert Counter(tuple(r)[1:] for r in got.collect()) == want
+    first = separator & 255
+    some = [separator, separator, 1, 2, first << 8 | 7, 7 << 8 | first, separator >> 8 & 255 | first << 8, first, 0x0A0D, 0x2020, 0]
+    want, files = Counter(), [[rng.choice(some) for _ in range(rng.randint(0, 150))] for _ in range(6)] + [[separator] * 30, [], [0xBBEF, 0xBF, separator, 3, separator], [0xBBEF, 0xBF, 3], [1]]
+    for f, tokens in enumerate(files):
+        (tmp_path / f"f{f:02d}").write_bytes(np.array(tokens, dtype).tobytes())
+        want.update((f, *x) for x in brute(tokens, separator))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for most in (step, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            got = ts.scan(spark, str(tmp_path), separator, dtype).collect()
+            assert Counter((int(r["file"][-2:]), *tuple(r)[1:]) for r in got) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_written_files_are_flat(spark, tmp_path):
+    docs = spark.createDataFrame([(f"text number {i}" * (i % 5),) for i in range(60)], "text string").repartition(3)
+    ts.flatten(docs, str(tmp_path / "f"))
+    tokens = np.concatenate([np.fromfile(p, "<u2") for p in sorted((tmp_path / "f").glob("part-*"))])
+    assert Counter(tokens.tolist())[ts.SEPARATOR] == 60 and len(tokens) == 60 + sum(len(ts.byte_bpe().ids(r["text"])) for r in docs.collect())
 
 
 def test_query_equals_packed_lengths(spark, tiny):
@@ -57,7 +58,8 @@ def test_query_equals_packed_lengths(spark, tiny):
 def test_edges(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "word " * 3000), (3, "<|endoftext|>"), (3, "<|endoftext|>")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, start int").repartition(2)
-    got = Counter((r["doc_id"], r["n_tokens"]) for r in ts.token_counts(df, block_bytes=512).collect())
-    special = len(ts.byte_bpe().encode("<|endoftext|>")) // 4 + 1
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in ts.token_counts(df).collect())
+    special = len(ts.byte_bpe("byte_bpe_50k.json", False).ids("<|endoftext|>")) + 1
     assert special > 2 and got == Counter({(1, 1): 1, (2, 1): 1, (None, 3): 1, (3, 3002): 1, (3, special): 2}) and sum(got.values()) == 6
     assert ts.token_counts(df.limit(0)).count() == 0
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("flat-*"))
