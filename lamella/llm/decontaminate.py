@@ -1,59 +1,79 @@
 """Benchmark decontamination with an FM-index per shard of training documents.
 
-A shard is a slice of a partition (bounded bytes).  Its word sequence is indexed
-by a Burrows-Wheeler transform over word numbers whose ranks are answered by a
-wavelet matrix, and by suffix positions sampled every ``SAMPLE`` places.  All
-test windows run backward through the index at once; each occurrence is located
-by walking to a sampled position, and the spans are merged by a running sum.
-
-Words that no window holds can't be part of a match.  They become the separator
-that also ends documents, and so do runs shorter than the shortest window: the
-index then holds just the places where a window fits, which loses none.
+A shard is a slice of a partition (bounded bytes).  Its whole word sequence is
+indexed once, whatever the benchmark: a Burrows-Wheeler transform over word
+numbers whose ranks are answered by a wavelet matrix, and suffix positions
+sampled every ``SAMPLE`` places.  The indexes are written to the shared folder,
+one row per shard.  Test phrases come in batches of bounded bytes, one job each:
+all windows of a batch run backward through a shard's index at once, each
+occurrence is located by walking to a sampled position, and what the batches
+found in a document is merged at the end.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, in_slices, texts, with_text
+from .common import ALNUM, cut, in_slices, texts, with_text
 
 WINDOW = 10
 SAMPLE = 8
-#: Benchmark text that one pass holds in memory; a larger benchmark takes several passes.
-PASS_BYTES = 32 << 20
+#: Benchmark text of one batch: some 20 bytes of a task's memory for each.
+BATCH_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def reverse_bits(x: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros_like(x)
+    for i in range(n):
+        out |= (x >> i & 1) << (n - 1 - i)
+    return out
+
+
 class WaveletMatrix:
     """Ranks and accesses over a sequence of small integers, vectorised over queries."""
 
-    def __init__(self, sequence: np.ndarray):
-        top = int(sequence.max(initial=0))
-        self.levels, self.before, self.zeros = range(max(1, top.bit_length()) - 1, -1, -1), [], []
-        for level in self.levels:
+    def __init__(self, bits: list[np.ndarray], counts: np.ndarray, size: int):
+        """bits: packed, by level, the highest first; counts: how often each symbol occurs."""
+        self.bits, self.size = bits, size
+        self.levels, self.before, self.zeros = range(len(bits) - 1, -1, -1), [], []
+        for packed in bits:
+            before = np.zeros(size + 1, np.int32)
+            np.cumsum(np.unpackbits(packed, count=size), dtype=np.int32, out=before[1:])
+            self.before.append(before)
+            self.zeros.append(size - int(before[-1]))
+        # the last level's order is by reversed bits: where each symbol's block begins there
+        order = np.argsort(reverse_bits(np.arange(len(counts)), len(bits)))
+        self.starts = np.zeros(len(counts), np.int64)
+        self.starts[order] = np.concatenate(([0], np.cumsum(counts[order])[:-1]))
+
+    @classmethod
+    def of(cls, sequence: np.ndarray) -> WaveletMatrix:
+        counts, bits = np.bincount(sequence), []
+        for level in range(max(1, (len(counts) - 1).bit_length()) - 1, -1, -1):
             bit = sequence >> level & 1
-            self.before.append(np.concatenate(([0], np.cumsum(bit, dtype=np.int32))).astype(np.int32))
-            self.zeros.append(len(sequence) - int(bit.sum()))
-            sequence = np.concatenate((sequence[bit == 0], sequence[bit == 1]))
-        # where each symbol's block begins after the last level
-        self.starts = np.searchsorted(sequence_order(sequence, self.levels), np.arange(1 << len(self.before)))
+            bits.append(np.packbits(bit.astype(np.uint8)))
+            if level:
+                sequence = np.concatenate((sequence[bit == 0], sequence[bit == 1]))
+        return cls(bits, counts, len(sequence))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
         for level, before, zeros in zip(self.levels, self.before, self.zeros):
             ones = before[at]
             at = np.where(symbol >> level & 1, zeros + ones, at - ones)
-        return at - self.starts[reverse_bits(symbol, len(self.before))]
+        return at - self.starts[symbol]
 
     def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each place, and its rank there."""
@@ -63,51 +83,66 @@ class WaveletMatrix:
             bit = before[at + 1] - ones
             symbol |= bit.astype(np.int64) << level
             at = np.where(bit, zeros + ones, at - ones)
-        return symbol, at - self.starts[reverse_bits(symbol, len(self.before))]
-
-
-def reverse_bits(x: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros_like(x)
-    for i in range(n):
-        out |= (x >> i & 1) << (n - 1 - i)
-    return out
-
-
-def sequence_order(sequence: np.ndarray, levels: range) -> np.ndarray:
-    """The last level's order is by reversed bits, which is sorted."""
-    return reverse_bits(sequence, len(levels))
+        return symbol, at - self.starts[symbol]
 
 
 def suffix_array(sequence: np.ndarray) -> np.ndarray:
-    """Prefix doubling; the last symbol must be the smallest and stand nowhere else."""
-    n, h = len(sequence), 1
-    _, rank = np.unique(sequence, return_inverse=True)
-    rank = rank.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    """Suffixes in order; the last symbol must be the smallest and stand nowhere else.
+
+    As many symbols as fit 63 bits are sorted at once; then the length doubles,
+    and only suffixes that are not yet alone are sorted again.
+    """
+    n, width = len(sequence), max(1, int(sequence.max()).bit_length())
+    h = max(1, min(63 // width, n))
+    key = np.zeros(n, np.int64)
+    for k in range(h):
+        key <<= width
+        key[: n - k] |= sequence[k:]
+    order = np.argsort(key, kind="stable")
+    rank, begin = np.empty(n, np.int64), np.empty(n, np.int64)
+    fresh = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    begin = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    rank[order] = begin
     while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank[order] = new
-        if new[-1] == n - 1:
+        alone = fresh & np.append(fresh[1:], True)
+        open_ = np.flatnonzero(~alone)  # places in the order
+        if not len(open_):
             return order
+        suffix = order[open_]
+        ahead = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + 1, 0)
+        key = rank[suffix] * (n + 1) + ahead
+        turn = np.argsort(key, kind="stable")
+        order[open_], key = suffix[turn], key[turn]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        fresh[open_] = new
+        rank[order[open_]] = np.maximum.accumulate(np.where(new, open_, 0))
         h *= 2
 
 
 class FMIndex:
     """Counts and locates patterns in a sequence of positive integers."""
 
-    def __init__(self, sequence: np.ndarray):
+    def __init__(self, tree: WaveletMatrix, first: np.ndarray, sampled: np.ndarray, samples: np.ndarray):
+        self.tree, self.first, self.sampled, self.samples = tree, first, sampled, samples
+        self.sample_no = np.cumsum(sampled, dtype=np.int32) - 1
+        self.size = tree.size
+
+    @classmethod
+    def of(cls, sequence: np.ndarray) -> FMIndex:
         sequence = np.concatenate((sequence, [0]))
         order = suffix_array(sequence)
-        self.tree = WaveletMatrix(sequence[order - 1])
-        self.first = np.searchsorted(np.sort(sequence), np.arange(int(sequence.max(initial=0)) + 2))
-        self.sampled = order % SAMPLE == 0
-        self.sample_no = np.cumsum(self.sampled) - 1
-        self.samples = order[self.sampled]
-        self.size = len(sequence)
+        first = np.concatenate(([0], np.cumsum(np.bincount(sequence))))
+        sampled = order % SAMPLE == 0
+        return cls(WaveletMatrix.of(sequence[order - 1]), first, sampled, order[sampled].astype(np.uint32))
+
+    def dump(self) -> bytes:
+        return pickle.dumps((self.tree.bits, np.diff(self.first).astype(np.uint32), self.size, np.packbits(self.sampled), self.samples))
+
+    @classmethod
+    def load(cls, data: bytes) -> FMIndex:
+        bits, counts, size, sampled, samples = pickle.loads(data)
+        counts = counts.astype(np.int64)
+        return cls(WaveletMatrix(bits, counts, size), np.concatenate(([0], np.cumsum(counts))), np.unpackbits(sampled, count=size).astype(bool), samples)
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The row interval of each pattern (rows of a matrix, right-aligned)."""
@@ -116,7 +151,7 @@ class FMIndex:
             on = np.flatnonzero((patterns.shape[1] - k <= lengths) & (low < high))
             if not len(on):
                 break
-            symbol = patterns[on, k]
+            symbol = patterns[on, k].astype(np.int64)
             known = symbol < len(self.first) - 1
             low[on[~known]] = high[on[~known]] = 0
             on, symbol = on[known], symbol[known]
@@ -129,7 +164,7 @@ class FMIndex:
         while len(left):
             done = self.sampled[rows[left]]
             hit = left[done]
-            where[hit] = self.samples[self.sample_no[rows[hit]]] + steps[hit]
+            where[hit] = self.samples[self.sample_no[rows[hit]]].astype(np.int64) + steps[hit]
             left = left[~done]
             if len(left):
                 symbol, rank = self.tree.access(rows[left])
@@ -138,111 +173,171 @@ class FMIndex:
         return where
 
 
+class Shard:
+    """The index of some documents: words have numbers from 2, 1 ends a document."""
+
+    def __init__(self, index: FMIndex, words: list[bytes], starts: np.ndarray):
+        self.index, self.words, self.starts = index, words, starts
+
+    @classmethod
+    def of(cls, documents: list[bytes | None]) -> Shard:
+        number: dict[bytes, int] = {}
+        parts, starts, at = [], [0], 0
+        for text in documents:
+            words = text.translate(ALNUM).split() if text else []
+            for w in words:
+                if w not in number:
+                    number[w] = len(number) + 2
+            parts += [np.fromiter(map(number.__getitem__, words), np.int64, len(words)), [1]]
+            at += len(words) + 1
+            starts.append(at)
+        flat = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+        return cls(FMIndex.of(flat), list(number), np.array(starts))
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.starts) - 1
+
+    def dump(self) -> bytes:
+        return pickle.dumps((self.index.dump(), b"\n".join(self.words), self.starts))
+
+    @classmethod
+    def load(cls, data: bytes) -> Shard:
+        index, words, starts = pickle.loads(data)
+        return cls(FMIndex.load(index), words.split(b"\n") if words else [], starts)
+
+
 class Phrases:
-    """The distinct windows of a set of items, as matrices of word numbers from 2."""
+    """The distinct windows of a set of items, as a matrix of word numbers from 2."""
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set] = defaultdict(set)
-        for item, text in items:
+        fresh, rows, lengths, owners = count(2), [], [], []
+        self.items = [item for item, _ in items]
+        for owner, (_, text) in enumerate(items):
             words = text.translate(ALNUM).split() if text else []
-            ids = [self.number.setdefault(w, len(self.number) + 2) for w in words]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows[tuple(ids[i : i + window])].add(item)
-        self.lengths = np.array([len(w) for w in windows], np.int64)
-        self.matrix = np.zeros((len(windows), window), np.int64)
-        for row, w in zip(self.matrix, windows):
-            row[window - len(w) :] = w
-        self.items = [sorted(x for x in s if x is not None) for s in windows.values()]
-        self.shortest = int(self.lengths.min(initial=window))
-
-
-def find(phrases: Phrases, documents: list[bytes | None]) -> list[tuple[int, np.ndarray, set]]:
-    """For each document of a shard: number of words, hit flags of the words, items found."""
-    get = phrases.number.get
-    parts, starts, at = [], [], 0
-    for text in documents:
-        words = text.translate(ALNUM).split() if text else []
-        ids = np.fromiter(map(get, words, repeat(1)), np.int64, len(words))
-        starts.append(at)
-        parts += [ids, [1]]
-        at += len(ids) + 1
-    starts.append(at)
-    flat = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-    hit, found = np.zeros(len(flat) + 1, np.int64), defaultdict(set)
-    known = flat > 1
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], known.astype(np.int8), [0]))))
-    begin, end = edges[::2], edges[1::2]
-    long = end - begin >= phrases.shortest
-    begin, end = begin[long], end[long]
-    if len(begin) and len(phrases.lengths):
-        keep = np.zeros(len(flat) + 1, np.int64)
-        keep[begin] += 1
-        keep[np.minimum(end + 1, len(flat))] -= 1  # a separator after each run
-        place = np.flatnonzero(np.cumsum(keep[:-1]))
-        index = FMIndex(flat[place])
-        low, high = index.search(phrases.matrix, phrases.lengths)
-        some = np.flatnonzero(high > low)
-        counts = high[some] - low[some]
-        which = np.repeat(some, counts)
-        rows = np.repeat(low[some] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))
-        where = place[index.locate(rows)]
-        np.add.at(hit, where, 1)
-        np.add.at(hit, where + phrases.lengths[which], -1)
-        doc = np.searchsorted(starts, where, side="right") - 1
-        for d, w in set(zip(doc.tolist(), which.tolist())):
-            found[d].update(phrases.items[w])
-    hit = np.cumsum(hit[:-1]) > 0
-    return [(b - a - 1, hit[a : b - 1], found[d] if d in found else set()) for d, (a, b) in enumerate(zip(starts, starts[1:]))]
-
-
-def _scan(batches: Iterator[pa.RecordBatch], items: list, window: int, carried: str | None, last: bool) -> Iterator[pa.RecordBatch]:
-    """One pass; what an earlier one found comes along and is merged."""
-    phrases = Phrases(items, window)
+            if not words:
+                continue
+            for w in words:
+                if w not in self.number:
+                    self.number[w] = next(fresh)
+            ids = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+            n = min(window, len(ids))
+            found = np.zeros((len(ids) - n + 1, window), np.int32)
+            found[:, window - n :] = np.lib.stride_tricks.sliding_window_view(ids, n)
+            rows.append(found)
+            lengths.append(np.full(len(found), n))
+            owners.append(np.full(len(found), owner))
+        self.matrix, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True) if rows else (np.zeros((0, window), np.int32), np.zeros(0, np.int64))
+        self.lengths = np.zeros(len(self.matrix), np.int64)
+        if rows:
+            self.lengths[which] = np.concatenate(lengths)
+        # the owners of window w are those from first[w] to first[w + 1]
+        order = np.argsort(which, kind="stable")
+        self.owners = np.concatenate(owners)[order] if rows else np.zeros(0, np.int64)
+        self.first = np.searchsorted(which[order], np.arange(len(self.matrix) + 1))
+
+
+def find(phrases: Phrases, shard: Shard) -> dict[int, tuple[list, list]]:
+    """Of the documents that hold a window: number to the items found and the spans of hit words [from, to)."""
+    asked = phrases.number
+    known = {w: i for i, w in enumerate(shard.words, 2) if w in asked}
+    here = np.zeros(len(phrases.number) + 2, np.int64)
+    here[2:] = [known.get(w, -1) for w in phrases.number]
+    mapped = here[phrases.matrix]
+    some = np.flatnonzero((mapped >= 0).all(1))
+    low, high = shard.index.search(mapped[some], phrases.lengths[some])
+    hit = high > low
+    some, low, n = some[hit], low[hit], (high - low)[hit]
+    if not len(some):
+        return {}
+    which = np.repeat(some, n)
+    where = shard.index.locate(np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum())))
+    flags = np.zeros(int(shard.starts[-1]) + 1, np.int64)
+    np.add.at(flags, where, 1)
+    np.add.at(flags, where + phrases.lengths[which], -1)
+    flags = np.cumsum(flags) > 0
+    doc = np.searchsorted(shard.starts, where, side="right") - 1
+    out = {}
+    for d in np.unique(doc).tolist():
+        a, b = shard.starts[d], shard.starts[d + 1] - 1
+        spans = np.flatnonzero(np.diff(np.concatenate(([0], flags[a:b].astype(np.int8), [0])))).reshape(-1, 2).tolist()
+        owners = {int(o) for w in np.unique(which[doc == d]).tolist() for o in phrases.owners[phrases.first[w] : phrases.first[w + 1]]}
+        out[d] = [x for x in (phrases.items[o] for o in sorted(owners)) if x is not None], spans
+    return out
+
+
+def _index(batches: Iterator[pa.RecordBatch], carried: str | None) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
     for batch in in_slices(with_text(batches, carried), most=SHARD_BYTES):
-        found = find(phrases, texts(batch.column("text")))
-        if "spans" in batch.schema.names:
-            for (_, hit, named), spans, more in zip(found, batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
-                for a, b in spans:
-                    hit[a:b] = True
-                named.update(more)
-        spans = [np.flatnonzero(np.diff(np.concatenate(([0], h.astype(np.int8), [0])))).reshape(-1, 2).tolist() for _, h, _ in found]
-        names = ["id", "n_words", "n_hit", "items", "spans"]
-        columns = [
-            batch.column("id"),
-            pa.array([n for n, _, _ in found], pa.int64()),
-            pa.array([int(h.sum()) for _, h, _ in found], pa.int64()),
-            pa.array([sorted(i) for *_, i in found], pa.list_(pa.int64())),
-            pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-        ]
-        for name in ["row"] if carried else [] if last else ["text"]:
-            names, columns = [*names, name], [*columns, batch.column(name)]
-        yield pa.RecordBatch.from_arrays(columns, names)
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES, carry: bool = False) -> DataFrame:
-    """Per document: id, n_words, n_hit, items (sorted ids), spans of hit words [from, to).
-
-    With ``carry`` the whole input row comes along as struct ``row``.  Null texts
-    have no words; an item without words matches nothing; an item without an id
-    marks words but is not listed; equal rows on either side are each handled
-    like any other.  Empty tables give no row, or no hit.  The benchmark is held
-    by each task, up to ``pass_bytes``: a larger one is read in parts of that
-    size, one pass after the other over each document, in the same task.
+        shard, n = Shard.of(texts(batch.column("text"))), batch.num_rows
+        own = batch.drop_columns(["text"]) if "text" in batch.schema.names else batch
+        docs = pa.StructArray.from_arrays([*own.columns, pa.array(shard.sizes, pa.int64())], [*own.schema.names, "n_words"])
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), docs), pa.array([shard.dump()], pa.binary())], ["shard", "docs", "index"])
+        number += 1
+
+
+def _search(batches: Iterator[pa.RecordBatch], items: list, window: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    phrases = Phrases(items, window)
+    for batch in batches:
+        for number, data in zip(batch.column("shard").to_pylist(), batch.column("index")):
+            found = find(phrases, Shard.load(data.as_buffer().to_pybytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * len(found), pa.int64()), pa.array(list(found), pa.int32()), pa.array([i for i, _ in found.values()], pa.list_(kind)), pa.array([s for _, s in found.values()], pa.list_(pa.list_(pa.int64())))],
+                    ["shard", "doc", "items", "spans"],
+                )
+
+
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """The written index of a corpus, one row per shard: shard, docs (id, with ``carry`` the whole row, and n_words), index.
+
+    It does not depend on any benchmark and serves any number of ``search`` calls.
     """
-    asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    size = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row") if carry else F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)
-    passes = max(1, -(-size // pass_bytes))
-    for p in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p) if passes > 1 else asked
-        items = [(r["item"], bytes(r["text"])) for r in part.select("item", F.col("text").cast("binary")).toLocalIterator()]
-        last = p == passes - 1
-        kept = f", row {kind['row']}" if carry else "" if last else ", text string"
-        schema = f"id {kind['id']}, n_words long, n_hit long, items array<long>, spans array<array<long>>{kept}"
-        rows = rows.mapInArrow(partial(_scan, items=items, window=window, carried=text_col if carry else None, last=last), schema)
-    return rows
+    kept = f"id: {kind['id']}, row: {kind['row']}" if carry else f"id: {kind['id']}"
+    return cut(rows.mapInArrow(partial(_index, carried=text_col if carry else None), f"shard long, docs array<struct<{kept}, n_words: long>>, index binary"))
+
+
+def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Per document of the index: id, (row,) n_words, n_hit, items (sorted ids), spans of hit words [from, to).
+
+    Null texts have no words; an item without words matches nothing; an item
+    without an id marks words but is not listed; ids may be of any type; equal
+    rows on either side are each handled like any other.  Empty tables give no
+    row, or no hit.  The benchmark is read in batches of about ``batch_bytes``,
+    one job after the other: the driver and the tasks hold one batch at a time.
+    """
+    asked = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    size = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    kind, batches = dict(asked.dtypes)["item"], max(1, -(-size // batch_bytes))
+    shape = f"shard long, doc int, items array<{kind}>, spans array<array<long>>"
+    hits = None
+    for k in range(batches):
+        part = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(batches)) == k) if batches > 1 else asked
+        found = part.select("item", F.col("text").cast("binary")).toArrow()
+        items = list(zip(found["item"].to_pylist(), found["text"].to_pylist()))
+        found = cut(index.select("shard", "index").mapInArrow(partial(_search, items=items, window=window, kind=found["item"].type), shape))
+        hits = found if hits is None else hits.unionByName(found)
+    merged = hits.groupBy("shard", "doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    none = F.array().cast("array<array<bigint>>")
+
+    def join(done, span):
+        """Spans come sorted; one that begins within or right after the last is added to it."""
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], span[1]))))
+        return F.when((F.size(done) > 0) & (F.get(last, 1) >= span[0]), longer).otherwise(F.concat(done, F.array(span)))
+
+    docs = index.select("shard", F.posexplode("docs").alias("doc", "d")).select("shard", "doc", "d.*")
+    joined = docs.join(merged, ["shard", "doc"], "left").withColumn("spans", F.when(F.size("spans") > 0, F.aggregate("spans", none, join)).otherwise(none))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return joined.select("id", *(["row"] if "row" in docs.columns else []), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"), "spans")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, **options) -> DataFrame:
+    """``search`` in the index of the documents; ``options`` go there."""
+    return search(build(docs, id_col, text_col, carry), benchmark, **options)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -35,7 +36,8 @@ def test_index_against_scanning():
     for _ in range(40):
         n, k = rng.choice([1, 2, 5, 50, 400]), rng.choice([1, 2, 9, 40])
         s = np.array([rng.randint(1, k) for _ in range(n)])
-        index = dc.FMIndex(s)
+        index = dc.FMIndex.load(dc.FMIndex.of(s).dump())
+        assert dc.suffix_array(np.append(s, 0)).tolist() == sorted(range(n + 1), key=lambda i: [*s[i:].tolist(), 0])
         pats = [[rng.randint(1, k + 1) for _ in range(rng.randint(1, 4))] for _ in range(30)]
         m = np.zeros((30, 4), int)
         for row, p in zip(m, pats):
@@ -57,12 +59,12 @@ def case():
     return docs, items
 
 
-@pytest.mark.parametrize("size", [dc.PASS_BYTES, 60])
+@pytest.mark.parametrize("size", [dc.BATCH_BYTES, 60])
 def test_against_brute_force(spark, case, size):
     docs, items = case
     d = spark.createDataFrame([(*x, "row") for x in docs], "doc_id long, text string, n_words string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((tuple(r) for r in dc.digest(dc.scan(d, b, pass_bytes=size)).collect()), key=str)
+    got = sorted((tuple(r) for r in dc.digest(dc.scan(d, b, batch_bytes=size)).collect()), key=str)
     assert got == sorted(((i, *brute(t, items)) for i, t in docs), key=str)
 
 
@@ -79,6 +81,35 @@ def test_spans_are_removed(spark, case):
             assert (kept[i] == t) == (hits[i]["n_hit"] == 0) and len(words(kept[i])) == hits[i]["n_words"] - hits[i]["n_hit"]
 
 
+def test_ids_of_any_type_and_one_index_for_several_benchmarks(spark, case):
+    docs, items = case
+    named = [(None if i is None else f"item-{i}", t) for i, t in items]
+    d = spark.createDataFrame([(None if i is None else f"d{i}", t) for i, t in docs], "doc_id string, text string").repartition(2)
+    index = dc.build(d)
+    for part in (named[:3], named[3:], named):
+        b = spark.createDataFrame(part, "item_id string, text string")
+        got = sorted((tuple(r) for r in dc.digest(dc.search(index, b)).collect()), key=str)
+        assert got == sorted(((None if i is None else f"d{i}", *brute(t, part)) for i, t in docs), key=str)
+
+
+def test_repeated_texts_are_sorted_in_few_rounds():
+    s = np.append(np.tile(np.arange(1, 40), 3000), 0)
+    order = dc.suffix_array(s)
+    assert sorted(order.tolist()) == list(range(len(s))) and order[0] == len(s) - 1 and order[1] == len(s) - 40
+
+
+def test_memory_of_a_batch():
+    """The stated bound: some 20 bytes for each of the benchmark's text, here 1 MB of it."""
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(300)).encode()) for i in range(550)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    phrases = dc.Phrases(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 900_000 and len(phrases.lengths) > 100_000 and peak < 40 * size
+
+
 def test_empty_tables(spark, case):
     docs, items = case
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
