@@ -1,19 +1,21 @@
 """Licence scans with a generalised suffix automaton of template words.
 
-The templates (short public notices and grants) go into one automaton.  A text
-streams through it word by word: the matching statistic of a place is the length
-of the longest template substring that ends there.  Right-maximal matches of
-``LEAST`` words or more are placed in their templates, chained where they keep
-the template's order and stand close in the text, and the words that a chain
-covers, as a share of the template, are its score.
+The templates (short public notices, and every paragraph of full licence texts)
+go into one automaton.  A text streams through it word by word: the matching
+statistic of a place is the length of the longest template substring that ends
+there.  Right-maximal matches of ``LEAST`` words or more are placed in their
+templates and chained where they keep the template's order and stand close in
+the text, such that the chain covers the most words; these, as a share of the
+template, are its score.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,35 +33,53 @@ COVER = 0.6
 
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-#: (label, text): notices first, then opening grants.  A label may have several templates.
-TEMPLATES = (
+#: (label, text) of short notices, which stand in place of a licence.
+NOTICES = (
     ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 )
+#: Full public licence texts in the folder ``licence_texts``, by label.
+TEXTS = {
+    "apache": ("Apache-2.0",), "boost": ("Boost-1.0",), "bsd": ("BSD-3-Clause",), "cc0": ("CC0-1.0",), "gpl": ("GPL-2", "GPL-3"), "isc": ("ISC",), "lgpl": ("LGPL-2.1",), "mit": ("MIT",),
+    "mpl": ("MPL-2.0",), "unlicense": ("Unlicense",), "zlib": ("Zlib",),
+}
+#: Words that a paragraph needs to be a template; shorter ones are headings.
+PARAGRAPH = 15
 
 
 def words_of(text: str | bytes) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).translate(ALNUM).split()
 
 
+@lru_cache(maxsize=1)
+def templates(notices=NOTICES, folder: str = str(Path(__file__).parent / "licence_texts")) -> tuple[tuple[str, str], ...]:
+    """(label, text): the notices, then the paragraphs of the full texts that no licence of another label has."""
+    whole = {(label, name): (Path(folder) / f"{name}.txt").read_text() for label, names in TEXTS.items() for name in names}
+    flat = {key: b" " + b" ".join(words_of(text)) + b" " for key, text in whole.items()}
+    out = list(notices)
+    for (label, name), text in whole.items():
+        for part in re.split(r"\n\s*\n", text):
+            words = words_of(part)
+            inside = b" " + b" ".join(words) + b" "
+            if len(words) >= PARAGRAPH and not any(inside in other for (l, _), other in flat.items() if l != label):
+                out.append((label, " ".join(part.split())))
+    return tuple(dict.fromkeys(out))
+
+
 class Automaton:
-    """Suffix automaton of several word sequences; each state knows where its substrings end."""
+    """Suffix automaton of several word sequences; each state of ``least`` words or more knows where its substrings end."""
 
-    def __init__(self, templates: list[list[bytes]]):
+    def __init__(self, templates: list[list[bytes]], least: int = 1):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends: list[set] = [set()]
@@ -69,7 +89,8 @@ class Automaton:
                 last = self._extend(last, w, ends)
                 ends[last].add((t, i))
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            ends[self.link[s]] |= ends[s]
+            if self.length[self.link[s]] >= least:
+                ends[self.link[s]] |= ends[s]
         self.ends = [sorted(e) for e in ends]
 
     def _extend(self, last: int, w: bytes, ends: list[set]) -> int:
@@ -117,13 +138,15 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES, least: int = LEAST, gap: int = GAP, cover: float = COVER):
-        self.labels = [label for label, _ in templates]
-        split = [words_of(text) for _, text in templates]
+    def __init__(self, texts_=None, phrases=tuple(PHRASES.items()), least: int = LEAST, gap: int = GAP, cover: float = COVER):
+        texts_ = templates() if texts_ is None else texts_
+        self.labels = [label for label, _ in texts_]
+        split = [words_of(text) for _, text in texts_]
         self.sizes = [len(w) for w in split]
-        self.automaton = Automaton(split)
+        self.sizes_most = max(self.sizes, default=0)
+        self.automaton = Automaton(split, least)
         self.vocabulary = dict.fromkeys((w for t in split for w in t), 1)
-        self.phrases = {label: words_of(p) for label, p in phrases.items()}
+        self.phrases = {label: words_of(p) for label, p in phrases}
         self.least, self.gap, self.cover = least, gap, cover
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, int]]:
@@ -143,26 +166,37 @@ class Scanner:
         return out
 
     def chains(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, word after the last, covered share), best chain per template and place."""
+        """(template, first word, word after the last, covered share) of the chains."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for start, n, state in self.matches(words):
             for t, end in self.automaton.ends[state]:
                 by_template.setdefault(t, []).append((start, end - n + 1, n))
-        out = []
-        for t, found in by_template.items():
-            found.sort()
-            open_chains: list[list[int]] = []  # text end, template end, text start, covered
-            for start, at, n in found:
-                open_chains, old = [c for c in open_chains if start - c[0] <= self.gap], [c for c in open_chains if start - c[0] > self.gap]
-                out += [(t, c[2], c[0], c[3] / self.sizes[t]) for c in old]
-                fits = [c for c in open_chains if 0 <= at - c[1] <= self.gap and start >= c[0]]
-                if fits:
-                    c = max(fits, key=lambda c: c[3])
-                    c[0], c[1], c[3] = start + n, at + n, c[3] + n
-                else:
-                    open_chains.append([start + n, at + n, start, n])
-            out += [(t, c[2], c[0], c[3] / self.sizes[t]) for c in open_chains]
-        return out
+        return [(t, *c) for t, found in by_template.items() for c in self.chained(sorted(found), self.sizes[t])]
+
+    def chained(self, found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, float]]:
+        """Chains of most covered words from (start in text, start in template, words), sorted: (first word, word after the last, covered share).
+
+        A match follows another if it lies after it in both, not more than
+        ``gap`` words on; what the two overlap counts once.  Of the chains that
+        begin with the same match the best is kept.
+        """
+        best: list[tuple[int, int]] = []  # covered words up to a match, and the match that its chain begins with
+        near = 0
+        for i, (start, at, n) in enumerate(found):
+            mine = (n, i)
+            while near < i and found[near][0] + self.sizes_most < start - self.gap:
+                near += 1
+            for j in range(near, i):
+                s, a, m = found[j]
+                over = max(0, s + m - start, a + m - at)
+                if over < n and start + over - s - m <= self.gap and at + over - a - m <= self.gap and best[j][0] + n - over > mine[0]:
+                    mine = (best[j][0] + n - over, best[j][1])
+            best.append(mine)
+        last: dict[int, int] = {}
+        for i, (covered, root) in enumerate(best):
+            if root not in last or covered > best[last[root]][0]:
+                last[root] = i
+        return [(found[root][0], found[i][0] + found[i][2], best[i][0] / size) for root, i in last.items()]
 
     def scan(self, text: bytes | None) -> dict:
         words = words_of(text or b"")
@@ -188,22 +222,29 @@ _SPANS = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("en
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), _SPANS]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
-    scanner = make()
+@lru_cache(maxsize=2)
+def scanner(*options) -> Scanner:
+    """One per worker and choice of templates."""
+    return Scanner(*options)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], options: tuple) -> Iterator[pa.RecordBatch]:
+    found = scanner(*options)
     names = [part.split()[0] for part in re.split(r", (?![^<]*>)", SCHEMA)]
     for batch in in_slices(batches):
-        rows = [scanner.scan(t) for t in texts(batch.column("text"))]
+        rows = [found.scan(t) for t in texts(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, _KINDS))], ["id", *names])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, least: int = LEAST, gap: int = GAP, cover: float = COVER) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts_: tuple | None = None, phrases: dict = PHRASES, least: int = LEAST, gap: int = GAP, cover: float = COVER) -> DataFrame:
     """One row per document: phrase counts, labels, score and covered template spans.
 
-    score is the largest share of a template that one chain covers, labelled or
-    not.  A null or empty text has no words, empty labels and score 0; repeated
-    rows and null ids are scanned like any other; other columns are not read; an
-    empty table gives no row.  No shuffle: each text is streamed once.
+    texts_: (label, text) templates, by default ``templates()``, which the driver
+    reads.  score is the largest share of a template that one chain covers,
+    labelled or not.  A null or empty text has no words, empty labels and score
+    0; repeated rows and null ids are scanned like any other; other columns are
+    not read; an empty table gives no row.  No shuffle: each text is streamed once.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    make = partial(Scanner, templates, phrases, least, gap, cover)
-    return rows.mapInArrow(partial(_scan, make=make), f"id {dict(rows.dtypes)['id']}, {SCHEMA}").withColumnRenamed("id", id_col)
+    options = (templates() if texts_ is None else texts_, tuple(phrases.items()), least, gap, cover)
+    return rows.mapInArrow(partial(_scan, options=options), f"id {dict(rows.dtypes)['id']}, {SCHEMA}").withColumnRenamed("id", id_col)
