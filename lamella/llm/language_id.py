@@ -28,6 +28,8 @@ BUCKETS = 1 << 14
 #: Up to this many languages the code is exhaustive; beyond, random columns are drawn.
 EXHAUSTIVE = 5
 COLUMNS = 31
+#: Languages that can be told apart: each takes 128 KB of a task's and the driver's memory.
+LANGUAGES = 1_024
 SMOOTH = 0.5
 #: Scores below this are flagged as ambiguous.
 CLEAR = 0.6
@@ -48,7 +50,8 @@ def codebook(languages: int, seed: int = 7) -> np.ndarray:
     for _ in range(200):  # the draw whose nearest codewords are farthest apart
         code = rng.choice((1, -1), (languages, max(COLUMNS, 2 * languages.bit_length() + 1)))
         code = code[:, np.abs(code.sum(0)) < languages]
-        apart = min(int((code[i] != code[j]).sum()) for i in range(languages) for j in range(i))
+        alike = code.astype(np.float32) @ code.T
+        apart = (code.shape[1] - alike[np.triu_indices(languages, 1)].max()) / 2
         if best is None or apart > best[0]:
             best = apart, code
     return best[1]
@@ -118,7 +121,10 @@ class Model:
 
 def train(rows: DataFrame) -> Model:
     """From columns lang and text; rows without a language are left out.  What is
-    gathered has at most ``BUCKETS`` rows per language."""
+    gathered has at most ``BUCKETS`` rows per language; more than ``LANGUAGES``
+    of these are an error."""
+    if rows.select("lang").where("lang is not null").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     counted = rows.where("lang is not null").select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
     found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = found["lang"].to_pylist()
