@@ -198,8 +198,9 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         part = bands.where(F.col("group").startswith(prefix))
         return F.broadcast(part.select(F.substring("group", 3, 1 << 30).alias(f"{prefix}key"), F.struct("curve", "middle", "bands").alias(prefix)))
 
-    rest = F.broadcast(bands.where("group = '*'").select(F.struct("curve", "middle", "bands").alias("all")))
-    joined = found.join(by("l:"), F.col("lang") == F.col("l:key"), "left").join(by("s:"), F.col("script") == F.col("s:key"), "left").join(rest, F.lit(True), "left")
+    rest = bands.where("group = '*'").select("curve", "middle", "bands").first()
+    every = F.lit(None) if rest is None else F.struct(F.lit(rest["curve"]).alias("curve"), F.lit(rest["middle"]).alias("middle"), F.array(*map(F.lit, rest["bands"])).alias("bands"))
+    joined = found.join(by("l:"), F.col("lang") == F.col("l:key"), "left").join(by("s:"), F.col("script") == F.col("s:key"), "left").withColumn("all", every)
     judged = joined.withColumn("fit", F.coalesce("`l:`", "`s:`", "all")).withColumn("curve", F.col("fit.curve")).withColumn("middle", F.col("fit.middle"))
     out = [F.when(~c.between(F.col("fit.bands")[k][0], F.col("fit.bands")[k][1]), F.lit(n)) for k, (n, c) in enumerate(_levelled().items())]
     judged = judged.withColumn("outside", F.array_compact(F.array(*out))).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
