@@ -26,13 +26,15 @@ def _sum(name: str):
 
 def global_stats(spark: SparkSession, path: str) -> DataFrame:
     """One row: records, files, row groups, columns and byte counts."""
-    found = chunks(spark, path)
-    groups = found.where("record_group >= 0").groupBy("file", "record_group").agg(F.max("num_records").alias("n")).agg(_sum("n").name("num_records"), F.count("*").alias("num_record_groups"))
-    files = found.groupBy("file").agg(F.max("file_length").alias("length")).agg(F.count("*").alias("num_files"), _sum("length"))
-    columns = found.agg(F.count_distinct("path").alias("num_columns"), _sum("length").name("chunks"), _sum("dictionary_length"), *map(_sum, _LENGTHS))
-    one = groups.crossJoin(files).crossJoin(columns)  # one row each
-    data = F.col("chunks") - F.col("dictionary_length")
-    return one.select("num_records", "num_files", "num_record_groups", "num_columns", "length", data.alias("data_length"), "dictionary_length", (F.col("length") - F.col("chunks")).alias("metadata_length"), *_LENGTHS)
+    summed = ("length", "dictionary_length", *_LENGTHS)
+    groups = chunks(spark, path).groupBy("file", "record_group").agg(F.max("num_records").alias("n"), F.count("path").alias("columns"), F.max("file_length").alias("file_length"), *map(_sum, summed))
+    files = groups.groupBy("file").agg(F.sum("n").alias("n"), F.count(F.when(F.col("record_group") >= 0, 1)).alias("groups"), F.max("columns").alias("columns"), F.max("file_length").alias("file_length"), *map(_sum, summed))
+    one = files.agg(
+        _sum("n").name("num_records"), F.count("*").alias("num_files"), _sum("groups").name("num_record_groups"), F.coalesce(F.max("columns"), F.lit(0)).cast("long").alias("num_columns"),
+        _sum("file_length"), *map(_sum, summed),
+    )
+    data, rest = F.col("length") - F.col("dictionary_length"), F.col("file_length") - F.col("length")
+    return one.select("num_records", "num_files", "num_record_groups", "num_columns", F.col("file_length").alias("length"), data.alias("data_length"), "dictionary_length", rest.alias("metadata_length"), *_LENGTHS)
 
 
 def column_stats(spark: SparkSession, path: str) -> DataFrame:
