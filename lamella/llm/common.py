@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -71,6 +72,14 @@ def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int =
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Returns to the system what this worker has freed; earlier stages' share of it as well, as workers serve one stage after the other."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone keeps it
+    if trim:
+        trim(0)
+
+
 def with_text(batches: Iterator[pa.RecordBatch], carried: str | None) -> Iterator[pa.RecordBatch]:
     """Batches with a column ``text``: their own, or that field of the carried ``row``, which is not sent twice."""
     for batch in batches:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, cut, in_slices, texts, with_text
+from .common import ALNUM, cut, give_back, in_slices, texts, with_text
 
 WINDOW = 10
 SAMPLE = 8
@@ -32,6 +32,7 @@ SAMPLE = 8
 BATCH_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_ALL = np.uint64((1 << 64) - 1)
 
 
 def reverse_bits(x: np.ndarray, n: int) -> np.ndarray:
@@ -47,12 +48,13 @@ class WaveletMatrix:
     def __init__(self, bits: list[np.ndarray], counts: np.ndarray, size: int):
         """bits: packed, by level, the highest first; counts: how often each symbol occurs."""
         self.bits, self.size = bits, size
-        self.levels, self.before, self.zeros = range(len(bits) - 1, -1, -1), [], []
-        for packed in bits:
-            before = np.zeros(size + 1, np.int32)
-            np.cumsum(np.unpackbits(packed, count=size), dtype=np.int32, out=before[1:])
-            self.before.append(before)
-            self.zeros.append(size - int(before[-1]))
+        self.levels, self.words, self.before, self.zeros = range(len(bits) - 1, -1, -1), [], [], []
+        for packed in bits:  # in words of 64, the last of them never full, and the ones before each
+            words = np.frombuffer(packed.tobytes().ljust((size // 64 + 1) * 8, b"\0"), ">u8").astype(np.uint64)
+            ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+            self.words.append(words)
+            self.before.append(np.concatenate(([0], ones[:-1])))
+            self.zeros.append(size - int(ones[-1]))
         # the last level's order is by reversed bits: where each symbol's block begins there
         order = np.argsort(reverse_bits(np.arange(len(counts)), len(bits)))
         self.starts = np.zeros(len(counts), np.int64)
@@ -68,20 +70,25 @@ class WaveletMatrix:
                 sequence = np.concatenate((sequence[bit == 0], sequence[bit == 1]))
         return cls(bits, counts, len(sequence))
 
+    @staticmethod
+    def _ones(words: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The ones of a level before each place."""
+        return before[at >> 6] + np.bitwise_count(words[at >> 6] & ~(_ALL >> (at & 63).astype(np.uint64)))
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
-        for level, before, zeros in zip(self.levels, self.before, self.zeros):
-            ones = before[at]
+        for level, words, before, zeros in zip(self.levels, self.words, self.before, self.zeros):
+            ones = self._ones(words, before, at)
             at = np.where(symbol >> level & 1, zeros + ones, at - ones)
         return at - self.starts[symbol]
 
     def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each place, and its rank there."""
         symbol = np.zeros(len(at), np.int64)
-        for level, before, zeros in zip(self.levels, self.before, self.zeros):
-            ones = before[at]
-            bit = before[at + 1] - ones
-            symbol |= bit.astype(np.int64) << level
+        for level, words, before, zeros in zip(self.levels, self.words, self.before, self.zeros):
+            ones = self._ones(words, before, at)
+            bit = (words[at >> 6] >> (63 - (at & 63)).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            symbol |= bit << level
             at = np.where(bit, zeros + ones, at - ones)
         return symbol, at - self.starts[symbol]
 
@@ -99,10 +106,11 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
         key <<= width
         key[: n - k] |= sequence[k:]
     order = np.argsort(key, kind="stable")
-    rank, begin = np.empty(n, np.int64), np.empty(n, np.int64)
-    fresh = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    begin = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank[order] = begin
+    key = key[order]
+    fresh = np.concatenate(([True], key[1:] != key[:-1]))
+    del key
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), 0))
     while True:
         alone = fresh & np.append(fresh[1:], True)
         open_ = np.flatnonzero(~alone)  # places in the order
@@ -110,7 +118,7 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
             return order
         suffix = order[open_]
         ahead = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + 1, 0)
-        key = rank[suffix] * (n + 1) + ahead
+        key = rank[suffix].astype(np.int64) * (n + 1) + ahead
         turn = np.argsort(key, kind="stable")
         order[open_], key = suffix[turn], key[turn]
         new = np.concatenate(([True], key[1:] != key[:-1]))
@@ -129,11 +137,13 @@ class FMIndex:
 
     @classmethod
     def of(cls, sequence: np.ndarray) -> FMIndex:
-        sequence = np.concatenate((sequence, [0]))
+        sequence = np.concatenate((sequence, np.zeros(1, sequence.dtype)))
         order = suffix_array(sequence)
         first = np.concatenate(([0], np.cumsum(np.bincount(sequence))))
         sampled = order % SAMPLE == 0
-        return cls(WaveletMatrix.of(sequence[order - 1]), first, sampled, order[sampled].astype(np.uint32))
+        samples, sequence = order[sampled].astype(np.uint32), sequence[order - 1]
+        del order
+        return cls(WaveletMatrix.of(sequence), first, sampled, samples)
 
     def dump(self) -> bytes:
         return pickle.dumps((self.tree.bits, np.diff(self.first).astype(np.uint32), self.size, np.packbits(self.sampled), self.samples))
@@ -182,17 +192,18 @@ class Shard:
     @classmethod
     def of(cls, documents: list[bytes | None]) -> Shard:
         number: dict[bytes, int] = {}
-        parts, starts, at = [], [0], 0
+        parts, starts, at, end = [], [0], 0, np.ones(1, np.int32)
         for text in documents:
             words = text.translate(ALNUM).split() if text else []
             for w in words:
                 if w not in number:
                     number[w] = len(number) + 2
-            parts += [np.fromiter(map(number.__getitem__, words), np.int64, len(words)), [1]]
+            parts += [np.fromiter(map(number.__getitem__, words), np.int32, len(words)), end]
             at += len(words) + 1
             starts.append(at)
-        flat = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        return cls(FMIndex.of(flat), list(number), np.array(starts))
+        flat, words = np.concatenate(parts) if parts else np.zeros(0, np.int32), list(number)
+        del parts, number
+        return cls(FMIndex.of(flat), words, np.array(starts))
 
     @property
     def sizes(self) -> np.ndarray:
@@ -269,15 +280,20 @@ def find(phrases: Phrases, shard: Shard) -> dict[int, tuple[list, list]]:
 
 def _index(batches: Iterator[pa.RecordBatch], carried: str | None) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
+    give_back()
     for batch in in_slices(with_text(batches, carried), most=SHARD_BYTES):
         shard, n = Shard.of(texts(batch.column("text"))), batch.num_rows
         own = batch.drop_columns(["text"]) if "text" in batch.schema.names else batch
         docs = pa.StructArray.from_arrays([*own.columns, pa.array(shard.sizes, pa.int64())], [*own.schema.names, "n_words"])
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), docs), pa.array([shard.dump()], pa.binary())], ["shard", "docs", "index"])
+        data = pa.array([shard.dump()], pa.binary())
+        del shard
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), docs), data], ["shard", "docs", "index"])
         number += 1
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: list, window: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    give_back()
     phrases = Phrases(items, window)
     for batch in batches:
         for number, data in zip(batch.column("shard").to_pylist(), batch.column("index")):

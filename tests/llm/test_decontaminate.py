@@ -110,6 +110,33 @@ def test_memory_of_a_batch():
     assert size > 900_000 and len(phrases.lengths) > 100_000 and peak < 40 * size
 
 
+def test_memory_of_a_shard():
+    """Neither building, writing nor reading an index takes more than some 10 bytes for each of the text, here 2 MB of it."""
+    rng = random.Random(2)
+    docs = [" ".join(f"word{rng.randrange(20_000)}" for _ in range(400)).encode() for _ in range(500)]
+    size = sum(map(len, docs))
+    tracemalloc.start()
+    data = dc.Shard.of(docs).dump()
+    built = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    shard = dc.Shard.load(data)
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 1_500_000 and shard.sizes.tolist() == [400] * 500 and built < 12 * size and read < 12 * size, (built / size, read / size)
+
+
+def test_ranks_at_every_place():
+    """Also where a sequence ends with, before or after a word of 64 bits."""
+    rng = np.random.default_rng(5)
+    for n in (1, 63, 64, 65, 127, 128, 200):
+        s = rng.integers(0, 6, n)
+        tree = dc.WaveletMatrix.of(s)
+        for c in range(int(s.max()) + 1):
+            assert tree.rank(np.full(n + 1, c), np.arange(n + 1)).tolist() == [int((s[:i] == c).sum()) for i in range(n + 1)]
+        symbol, rank = tree.access(np.arange(n))
+        assert symbol.tolist() == s.tolist() and rank.tolist() == [int((s[:i] == s[i]).sum()) for i in range(n)]
+
+
 def test_empty_tables(spark, case):
     docs, items = case
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
