@@ -7,11 +7,14 @@ the class that raises the same objective most, by its own counts of the classes
 beside it, which are distributed rows by word; all words outside
 the clustered ones count as one context there.  Class transitions are summed
 from these counts; those between two further words, of which each side is
-counted alone, are taken as independent.
+counted alone, are an estimate there, as if independent.  With ``exact`` they
+are all counted anew, from the class of every word in its place.
 
 Each task holds the ``lexicon`` most frequent words with their classes.  Words
 beyond meet counts and classes in a join on the word, and their places return to
-their documents, so that every word is scored with its own count and class.  A
+their documents, so that every word is scored with its own count and class.  What
+is left of a text is a byte per token, its class, which the counts of class
+pairs and the score are then taken from.  A
 word that training never saw may be of any class, by the classes' shares.
 """
 
@@ -38,10 +41,10 @@ ADD = 0.1
 END = b"\n"  # no word holds white space
 #: Distinct words, or words with a neighbouring class, that one task counts before it hands them on.
 FLUSH = 400_000
-#: In a place's record: a neighbour that the lexicon does not have.
+#: The class of a word that the lexicon does not have, until the join brings it.
 TAIL = 255
 _CONTEXT = np.dtype([("j", "<u2"), ("n", "<u4")])
-_PLACE = np.dtype([("at", "<u4"), ("before", "u1"), ("after", "u1")])
+_PLACE = np.dtype("<u4")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -235,53 +238,46 @@ class Model:
         self.lexicon, self.total = lexicon, total
         self.unseen = size = len(transitions)
         # transitions back off to the class's own share; emissions add ADD for each word and the unseen one
-        share = (in_class + ADD) / (total + ADD * size)
-        given = np.concatenate((transitions, np.zeros((1, size))))
-        move = (given + size * share) / (given.sum(1, keepdims=True) + size)
-        per_word = ADD / (in_class + ADD * (kinds + 1))
-        self.log_move = np.log10(np.concatenate((move, (move * per_word).sum(1, keepdims=True)), 1))
+        self.share, self.per_word = (in_class + ADD) / (total + ADD * size), ADD / (in_class + ADD * (kinds + 1))
+        self.follow(transitions)
         self.class_base = np.append(np.log10(in_class + ADD * (kinds + 1)), 0.0)
         self.log_count = np.log10(lexicon.counts + ADD)
         self.base = float(np.log10(total + ADD * (distinct + 1)))
 
-    def score(self, words: list[bytes]) -> tuple[list, dict[bytes, bytes]]:
-        """n_tokens, n_known, base and class score without what the tail words add; their places by word."""
+    def follow(self, transitions: np.ndarray) -> None:
+        """Takes these counts of class pairs for its own."""
+        size = self.unseen
+        given = np.concatenate((transitions, np.zeros((1, size))))
+        move = (given + size * self.share) / (given.sum(1, keepdims=True) + size)
+        self.log_move = np.log10(np.concatenate((move, (move * self.per_word).sum(1, keepdims=True)), 1))
+
+    def read(self, words: list[bytes]) -> tuple[list, dict[bytes, bytes]]:
+        """Classes, n_tokens, n_known, base and emission score without what the tail words add; their places by word."""
         tokens = [*words, END]
         rows = np.fromiter(map(self.lexicon.number.get, tokens, repeat(-1)), np.int64, len(tokens))
         known = rows >= 0
         classes = np.where(known, self.lexicon.classes[np.maximum(rows, 0)], TAIL)
-        before, after = np.concatenate((classes[-1:], classes[:-1])), np.concatenate((classes[1:], [TAIL]))
         counts = self.log_count[rows[known]].sum()
-        both = known & (before != TAIL)
-        moves = self.log_move[before[both], classes[both]].sum() - self.class_base[classes[known]].sum()
+        own = counts - self.class_base[classes[known]].sum()
         number: defaultdict = defaultdict(count().__next__)
         at = np.flatnonzero(~known)
         ids = np.fromiter((number[tokens[i]] for i in at.tolist()), np.int64, len(at))
         order = np.argsort(ids, kind="stable")
         at, ids = at[order], ids[order]
-        place = np.empty(len(at), _PLACE)
-        place["at"], place["before"], place["after"] = at, before[at], after[at]
-        data, size = place.tobytes(), _PLACE.itemsize
+        data, size = at.astype(_PLACE).tobytes(), _PLACE.itemsize
         ends = (np.searchsorted(ids, np.arange(len(number) + 1)) * size).tolist()
         places = {w: data[a:b] for w, a, b in zip(number, ends, ends[1:])}
-        return [len(rows), int((self.lexicon.counts[rows[known]] > 0).sum()), float(counts - len(rows) * self.base), float(counts + moves)], places
+        return [classes.astype(np.uint8).tobytes(), len(rows), int((self.lexicon.counts[rows[known]] > 0).sum()), float(counts - len(rows) * self.base), float(own)], places
 
-    def finish(self, places: list[bytes], counts: list[int | None], classes: list[int | None]) -> tuple[int, float, float]:
-        """n_known, base and class score that a document's tail words add."""
+    def finish(self, classes: bytes, places: list[bytes], counts: list[int | None], kinds: list[int | None]) -> tuple[bytes, int, float, float]:
+        """The classes with those of a document's tail words in their places; n_known, base and emission score that these add."""
         n = [len(p) // _PLACE.itemsize for p in places]
-        place = np.frombuffer(b"".join(places), _PLACE)
         seen = np.repeat([c is not None for c in counts], n)
         log = np.repeat(np.log10(np.array([c or 0 for c in counts]) + ADD), n)
-        kind = np.repeat([self.unseen if c is None else c for c in classes], n)
-        order = np.argsort(place["at"])
-        place, seen, log, kind = place[order], seen[order], log[order], kind[order]
-        before = place["before"].astype(np.int64)
-        inner = before == TAIL  # the word before is a tail word too, and so the row before
-        before[inner] = kind[np.flatnonzero(inner) - 1]
-        moves = self.log_move[before, kind].sum()
-        out = place["after"] != TAIL
-        moves += self.log_move[kind[out], place["after"][out].astype(np.int64)].sum()
-        return int(seen.sum()), float(log.sum()), float(moves + (log - self.class_base[kind])[seen].sum())
+        kind = np.repeat([self.unseen if c is None else c for c in kinds], n)
+        whole = np.frombuffer(classes, np.uint8).copy()
+        whole[np.frombuffer(b"".join(places), _PLACE)] = kind
+        return whole.tobytes(), int(seen.sum()), float(log.sum()), float((log - self.class_base[kind])[seen].sum())
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -293,7 +289,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     for batch in in_slices(batches, most=4 << 20):
         uid, word, places, at, figures = [], [], [], [], []
         for u, text in zip(batch.column("uid").to_pylist(), texts(batch.column("text"))):
-            found, tail = model.score(words_of(text))
+            found, tail = model.read(words_of(text))
             at.append(len(uid))
             figures.append(found)
             uid += [u] * (1 + len(tail))
@@ -302,10 +298,10 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         row = np.full(len(uid), -1)
         row[at] = np.arange(len(at))
         row = pa.array(row, mask=row < 0)
-        cols = [pa.array(c, k).take(row) for c, k in zip(zip(*figures), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+        cols = [pa.array(c, k).take(row) for c, k in zip(zip(*figures), (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
         yield pa.RecordBatch.from_arrays(
             [pa.array(uid, pa.int64()), batch.column("id").take(row), pa.array(word, pa.binary()), pa.array(places, pa.binary()), *cols],
-            ["uid", "id", "word", "places", "n_tokens", "n_known", "base", "score"],
+            ["uid", "id", "word", "places", "classes", "n_tokens", "n_known", "base", "own"],
         )
 
 
@@ -314,16 +310,16 @@ def _finish(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     uid, own, tail, done, kind = None, None, ([], [], []), [], pa.int64()
 
     def close():
-        known, base, score = model.finish(*tail) if tail[0] else (0, 0.0, 0.0)
-        done.append((*own[:2], own[2] + known, own[3] + base, own[4] + score))
+        classes, known, base, more = model.finish(own[1], *tail) if tail[0] else (own[1], 0, 0.0, 0.0)
+        done.append((own[0], classes, own[2], own[3] + known, own[4] + base, own[5] + more))
 
     def out():
-        kinds = (kind, pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], ["id", "n_tokens", "n_known", "base_score", "score"])
+        kinds = (kind, pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], ["id", "classes", "n_tokens", "n_known", "base_score", "own"])
 
     for batch in batches:
         kind = batch.column("id").type
-        for u, place, n, c, *figures in zip(*(batch.column(x).to_pylist() for x in ("uid", "places", "n", "class", "id", "n_tokens", "n_known", "base", "score"))):
+        for u, place, n, c, *figures in zip(*(batch.column(x).to_pylist() for x in ("uid", "places", "n", "class", "id", "classes", "n_tokens", "n_known", "base", "own"))):
             if u != uid:
                 if uid is not None:
                     close()
@@ -341,8 +337,43 @@ def _finish(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
         yield out()
 
 
+def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class before each token and its own, all documents in a row, and where each document begins.
+
+    Every document ends with the end, whose class so stands before the next one's first token.
+    """
+    column = batch.column("classes").cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return np.roll(flat, 1), flat, ends[:-1] - ends[0]
+
+
+def _follow(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Counts of class pairs."""
+    total = np.zeros(size * size, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            before, own, _ = _sequences(batch)
+            total += np.bincount(before.astype(np.int64) * size + own, minlength=size * size)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some // size, pa.int32()), pa.array(some % size, pa.int32()), pa.array(total[some])], ["a", "b", "n"])
+
+
+def _moves(batches: Iterator[pa.RecordBatch], log_move: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Documents with their classes in, with their scores out."""
+    for batch in batches:
+        if batch.num_rows:
+            before, own, begin = _sequences(batch)
+            score = batch.column("own").to_numpy() + np.add.reduceat(log_move[before, own], begin)
+            names = ["id", "n_tokens", "n_known", "base_score"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], [*names, "score"])
+
+
 def train(texts_: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, lexicon: int = LEXICON) -> tuple[Model, DataFrame]:
-    """The model of a table of training texts (column ``text``); and (word, n, class) of all its words."""
+    """The model of a table of training texts (column ``text``); and (word, n, class) of all its words.
+
+    Its transitions between two words beyond the ``clustered`` ones are an estimate, which ``score`` replaces with ``exact``.
+    """
     rows = texts_.select("text")
     counts = cut(rows.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     head = most_frequent(counts, clustered)
@@ -382,7 +413,7 @@ def train(texts_: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES,
     return Model(known, transitions, in_class, kinds, total, distinct), book
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_out: int = 0, **size) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_out: int = 0, exact: bool = False, **size) -> DataFrame:
     """One row per document with its base and class-model log10 probabilities.
 
     Trained on the documents whose crc32(id) modulo ``folds`` is not
@@ -391,16 +422,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     null ids (an empty id text) are scored like any other; other columns are not
     read; an empty table, or one without training rows, gives rows scored by the
     additive terms alone.
+
+    exact: every transition of the training texts is counted, by the classes of
+    its two words, also where both are beyond the clustered ones; otherwise
+    those are taken as independent.  Either way the classes of all tokens, a
+    byte each, are written once.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = is_held_out(F.col("id"), folds, held_out)
     model, book = train(rows.where(~out), **size)
     kind = dict(rows.dtypes)["id"]
-    shape = f"uid long, id {kind}, word binary, places binary, n_tokens long, n_known long, base double, score double"
+    shape = f"uid long, id {kind}, word binary, places binary, classes binary, n_tokens long, n_known long, base double, own double"
     scored = rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(partial(_score, model=model), shape)
     # a word beyond the lexicon has a share of the tokens below 1 / lexicon: no key of this join is hot
     tail = scored.join(book, "word", "left")
-    met = tail.select("uid", "id", "places", "n", "class", "n_tokens", "n_known", "base", "score").repartition("uid").sortWithinPartitions("uid")
-    done = met.mapInArrow(partial(_finish, model=model), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
-    held = is_held_out(F.col("id"), folds, held_out).alias("held_out")
-    return done.select(F.col("id").alias(id_col), held, "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    met = tail.select("uid", "id", "places", "n", "class", "classes", "n_tokens", "n_known", "base", "own").repartition("uid").sortWithinPartitions("uid")
+    done = cut(met.mapInArrow(partial(_finish, model=model), f"id {kind}, classes binary, n_tokens long, n_known long, base_score double, own double"))
+    held = is_held_out(F.col("id"), folds, held_out)
+    if exact:
+        pairs = np.zeros((model.unseen, model.unseen))
+        for r in done.where(~held).select("classes").mapInArrow(partial(_follow, size=model.unseen), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+            pairs[r["a"], r["b"]] = r["n"]
+        model.follow(pairs)
+    scored = done.mapInArrow(partial(_moves, log_move=model.log_move), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

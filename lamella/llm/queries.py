@@ -22,7 +22,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(table(spark, sf_dir, "documents"))
+    return language_model.score(table(spark, sf_dir, "documents"), exact=True)
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,38 @@ def test_score_against_brute_force_with_any_lexicon(spark):
             assert math.isclose(r["score"], brute_score(learn, classes, head, dict(docs)[r["doc_id"]]), abs_tol=1e-6)
 
 
+def test_query_counts_transitions_beyond_the_clustered_words(spark, tmp_path):
+    """With more words than are clustered: the class pairs of all neighbours, two further words' too."""
+    from lamella.llm.queries import QUERIES
+
+    rng = np.random.default_rng(11)
+    docs = [(i, " ".join(f"w{k}" for j in rng.integers(0, 1_500, 20) for k in (j, (j + 1) % 1_500)) + (" never%d" % i if i % 20 == 0 else "")) for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    learn = [(t,) for i, t in docs if zlib.crc32(str(i).encode()) % 10]
+    model, _ = lm.train(spark.createDataFrame(learn, "text string"))
+    classes = dict(zip(model.lexicon.number, model.lexicon.classes.tolist()))
+    assert len(classes) > lm.CLUSTERED + 300
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op4_language_model"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {i for i, _ in docs}
+    for i in [*range(0, 300, 60), *[i for i, _ in docs if zlib.crc32(str(i).encode()) % 10 == 0][:3]]:
+        assert math.isclose(got[i], brute_score([t for (t,) in learn], classes, classes.keys(), docs[i][1]), abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("lexicon", [lm.LEXICON, 60, 45])
+def test_exact_transitions_with_any_lexicon(spark, lexicon):
+    rng = np.random.default_rng(7)
+    p = 1 / np.arange(1, 301)
+    docs = [(i, " ".join(f"w{k}" for k in rng.choice(300, rng.integers(0, 60), p=p / p.sum())) + (" never%d" % i if i % 7 == 0 else "")) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    learn = [t for i, t in docs if zlib.crc32(str(i).encode()) % 10]
+    model, _ = lm.train(spark.createDataFrame([(t,) for t in learn], "text string"), clustered=40, classes=6)
+    classes = dict(zip(model.lexicon.number, model.lexicon.classes.tolist()))
+    rows = lm.score(df, exact=True, lexicon=lexicon, clustered=40, classes=6).collect()
+    check_base(rows, docs)
+    for r in rows:
+        assert math.isclose(r["score"], brute_score(learn, classes, classes.keys(), dict(docs)[r["doc_id"]]), abs_tol=1e-6)
+
+
 def test_words_with_the_same_neighbours_share_a_class(spark):
     """Two alternating groups of words: the further words join the group they act like."""
     rng = np.random.default_rng(2)
@@ -130,3 +162,15 @@ def test_edges(spark):
     alone = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0][0]
     row = lm.score(spark.createDataFrame([(alone, "a b")], "doc_id long, text string")).first()
     assert row["held_out"] and row["train_tokens"] == 0 and row["n_known"] == 0 and math.isfinite(row["score"])
+
+
+def test_edges_with_exact_transitions(spark):
+    docs = [(1, None), (None, "A b."), (7, ""), (7, ""), (9, "x 1 é ! " * 5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lm.score(df, exact=True).collect()
+    check_base(rows, docs)
+    assert all(math.isfinite(r["score"]) for r in rows)
+    assert lm.score(df.limit(0), exact=True).count() == 0
+    alone = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0][0]
+    row = lm.score(spark.createDataFrame([(alone, "a b")], "doc_id long, text string"), exact=True).first()
+    assert row["held_out"] and row["train_tokens"] == 0 and math.isfinite(row["score"])
