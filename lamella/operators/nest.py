@@ -16,6 +16,8 @@ from ..sources import files
 
 #: Bytes of Parquet to a part, and the least number of parts that is stated; below it Spark's number is as good.
 PART_BYTES, LEAST_PARTS = 8 << 20, 8
+#: The part in which a fact lies.
+_PLACE = "_place"
 
 
 def lookup(facts: DataFrame, key: str, dim: DataFrame, dim_key: str, name: str, keep_key: bool = False) -> DataFrame:
@@ -52,6 +54,19 @@ def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.repartition(n, key) if n else df
 
 
+def placed(df: DataFrame, n: int, key: str) -> DataFrame:
+    """``df`` with the part, of n, that the rows of a key share."""
+    return df.withColumn(_PLACE, F.pmod(F.hash(key), F.lit(n)))
+
+
+def fetch(facts: DataFrame, key: str, dim: DataFrame, dim_key: str, name: str, n: int) -> DataFrame:
+    """(part, key, struct ``name``): the rows of ``dim`` that each part of ``facts`` asks for, once
+    a part.  So facts are shuffled once for any number of lookups, and never with what was looked up."""
+    asked = dealt(facts.select(_PLACE, F.col(key)), n, key).distinct()
+    packed = dim.select(F.col(dim_key).alias(key), F.struct(*dim.columns).alias(name))
+    return asked.join(dealt(packed, n, key), key).repartitionById(n, _PLACE)
+
+
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with order > customer > nation > region, part, and supplier > nation > region."""
     t = tables(spark, sf_dir)
@@ -59,9 +74,17 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = lookup(t["customer"], "nationkey", nation, "nationkey", "nation")
     supplier = lookup(t["supplier"], "nationkey", nation, "nationkey", "nation")
     order = lookup(t["orders"], "custkey", customer, "custkey", "customer")
-    items = lookup(t["lineitem"], "orderkey", order, "orderkey", "order", keep_key=True)
-    items = lookup(items, "partkey", t["part"], "partkey", "part", keep_key=True)
-    return lookup(items, "suppkey", supplier, "suppkey", "supplier", keep_key=True)
+    n = parts(spark, f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet")
+    if not n:
+        items = lookup(t["lineitem"], "orderkey", order, "orderkey", "order", keep_key=True)
+        items = lookup(items, "partkey", t["part"], "partkey", "part", keep_key=True)
+        return lookup(items, "suppkey", supplier, "suppkey", "supplier", keep_key=True)
+    facts = placed(t["lineitem"], n, "orderkey")
+    heads = placed(order.select("orderkey", F.struct(*order.columns).alias("order")), n, "orderkey").repartitionById(n, _PLACE)
+    items = facts.repartitionById(n, _PLACE).join(heads, ["orderkey", _PLACE], "left")
+    items = items.join(fetch(facts, "partkey", t["part"], "partkey", "part", n), ["partkey", _PLACE], "left")
+    items = items.join(fetch(facts, "suppkey", supplier, "suppkey", "supplier", n), ["suppkey", _PLACE], "left")
+    return items.select(*t["lineitem"].columns, "order", "part", "supplier")
 
 
 def customers(spark: SparkSession, sf_dir: str, orders: list[str] | None = None, items: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ def test_customers_shuffle_their_own_fields_alone(spark, tiny):
     assert not [c for c in ("l_discount", "l_shipdate", "l_returnflag", "o_orderdate", "o_orderpriority") if c in plan]
 
 
-@pytest.mark.parametrize("name", ["customers"])
+@pytest.mark.parametrize("name", ["customers", "line_items"])
 def test_dealt_into_parts_by_size(spark, tiny, monkeypatch, name):
     """Large tables are dealt into parts by the size of their files, with the same records."""
     make = FIXTURES[name][0]
