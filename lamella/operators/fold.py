@@ -15,18 +15,38 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 _INDEX, _FILE, _PART = "_index", "_file", "_part"
+#: A state up to this size is handed from task to task.
+STATE_BYTES = 1 << 20
 
 
 def reduce(frame: DataFrame, plain, f, *init):
-    """Sequential left fold over the rows in file order, streamed through the driver."""
-    rows = map(plain, frame.orderBy(_FILE, _INDEX).toLocalIterator())
-    if init:
-        return left_fold(f, rows, init[0])
-    first = next(rows, _VALUE_MISSING)
-    return f() if first is _VALUE_MISSING else left_fold(f, rows, first)
-
-
-_VALUE_MISSING = object()
+    """Sequential left fold over the rows in file order.
+
+    The parts of the sorted rows are folded in tasks, one part after the other; what
+    passes through the driver is the state.  A state of more than ``STATE_BYTES``, such as a
+    list of the rows, would pass once a part: from there on the rows are streamed instead.
+    """
+    rows = frame.orderBy(_FILE, _INDEX).drop(_FILE, _INDEX, _PART).rdd
+    code, state = cloudpickle.dumps((plain, f)), [cloudpickle.dumps(x) for x in init]
+    for part in range(rows.getNumPartitions()):
+        if state and len(state[0]) > STATE_BYTES:
+            return _streamed(rows, part, plain, f, pickle.loads(state[0]))
+        state = rows.context.runJob(rows, partial(_reduced, code=code, state=state), [part])
+    return pickle.loads(state[0]) if state else f()
+
+
+def _reduced(rows, code: bytes, state: list[bytes]) -> list[bytes]:
+    """The state after the rows of a part; none where there was neither a state nor a row."""
+    plain, f = cloudpickle.loads(code)
+    rows, state = map(plain, rows), [pickle.loads(s) for s in state]
+    state = state or [r for _, r in zip(range(1), rows)]
+    return [cloudpickle.dumps(left_fold(f, rows, s)) for s in state]
+
+
+def _streamed(rows, part: int, plain, f, state):
+    for at in range(part, rows.getNumPartitions()):
+        state = left_fold(f, map(plain, rows.context.runJob(rows, iter, [at])), state)
+    return state
 
 
 def _runs(frames, code: bytes, record: bool):

@@ -360,7 +360,7 @@ def fold_cat_sum(spark, sf_dir):
 
 @query("select 1000 + count(*) as total from orders")
 def reduce_init(spark, sf_dir):
-    """A left fold from a first value, through the driver."""
+    """A left fold from a first value, part after part."""
     total = flat(spark, sf_dir, "orders").read({"o_orderkey": ALL}).reduce(lambda a, _: a + 1, 1000)
     return spark.createDataFrame([(total,)], "total long")
 

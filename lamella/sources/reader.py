@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -120,14 +121,11 @@ class View:
         return map(self._plain, self.frame.orderBy(FILE, INDEX).toLocalIterator())
 
     def _plain(self, row):
-        found = {k: v for k, v in row.asDict(True).items() if k not in (INDEX, FILE, PART)}
-        if not self.record:
-            return found[VALUE]
-        return found if any(v is not None for v in found.values()) else None
+        return _plain(row, self.record)
 
     def reduce(self, f, *init):
-        """Left fold in file order; without init the first record is the seed."""
-        return folds.reduce(self.frame, self._plain, f, *init)
+        """Left fold in file order; without init the first record is the seed.  ``f`` runs in tasks."""
+        return folds.reduce(self.frame, partial(_plain, record=self.record), f, *init)
 
     def fold(self, combine, reduce_=None):
         """Per-partition folds from ``combine()``, combined in file order; ``combine`` is associative."""
@@ -138,6 +136,13 @@ class View:
         return self.df.agg(*columns)
 
 
+def _plain(row, record: bool):
+    found = {k: v for k, v in row.asDict(True).items() if k not in (INDEX, FILE, PART)}
+    if not record:
+        return found[VALUE]
+    return found if any(v is not None for v in found.values()) else None
+
+
 @dataclass(frozen=True)
 class Reader:
     """One file or written folder."""

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,27 @@ def test_positions_run_on_through_a_folder(folder):
         folder.read().eduction(lambda df: df.repartition(4, "kind").sortWithinPartitions("id")).fold(join, lambda s, r: [*s, int(r["id"])])
 
 
+def test_reduce_runs_in_tasks(folder, monkeypatch):
+    """Rows don't pass through the driver; a large state makes it stream the rest."""
+    ids = [i for i in range(1000) if i < 150 or i > 160]
+    v = folder.read({"id": ALL})
+    assert os.getpid() not in v.reduce(lambda a, r: a | {os.getpid()}, set())
+    join = lambda a, b: (a if isinstance(a, list) else [a]) + [b]
+    for limit in (1 << 20, 1000, 0):
+        monkeypatch.setattr("lamella.operators.fold.STATE_BYTES", limit)
+        assert v.reduce(lambda a, r: [*a, r["id"]], []) == ids
+        assert v.eduction(rows.map_(F.col("id"))).reduce(join) == ids
+        assert v.eduction(rows.filter_(F.col("id") == 700)).reduce(lambda a, b: 1 / 0) == {"id": 700}
+        assert v.eduction(rows.filter_(F.col("id") > 600)).reduce(lambda a, r: a * 31 % 1009 + r["id"], 7) == _chained(i for i in ids if i > 600)
+
+
+def _chained(ids):
+    state = 7
+    for i in ids:
+        state = state * 31 % 1009 + i
+    return state
+
+
 def test_positions_with_more_part_files_than_are_broadcast(folder, monkeypatch):
     monkeypatch.setattr("lamella.sources.reader.PARTS_BROADCAST", 2)
     assert [r["id"] for r in folder.read({"id": ALL}).tail(3).rows()] == [997, 998, 999]
